@@ -41,8 +41,8 @@ def extract(
     if reference_time is None and "file_mtime" in kept:
         reference_time = "file_mtime"
     # Raw fields get names of their own, as the lines may have such columns already.
-    lines = df.select(*[F.col(c).alias(f"_in_{c}") for c in kept], F.col(line).alias("line"))
-    df = computed_once(with_raw_fields(lines, "line", layouts)).drop("line")
+    lines = df.select(*[F.col(c).alias(f"_in_{c}") for c in kept])
+    df = computed_once(with_raw_fields(lines, f"_in_{line}", layouts))
     kept_in = [f"_in_{c}" for c in kept]
     df = df.withColumn("_request", X.split_request(F.col("request")))
     is_request = F.size("_request") == 2
