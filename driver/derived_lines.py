@@ -7,7 +7,14 @@ records can be computed from ``events`` without parsing anything.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ID, USER = F.col("event_id"), F.col("user_id")
+
+def event_id() -> Column:
+    return F.col("event_id")
+
+
+def user_id() -> Column:
+    return F.col("user_id")
+
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,18 +36,18 @@ def _hex(c: Column) -> Column:
 
 def with_parts(ev: DataFrame) -> DataFrame:
     """The pieces a line is put together from."""
-    is_v6 = (ID % 25 == 0) & (ID % 12 != 9)
-    v6 = F.concat(F.lit("2001:db8:"), _hex(USER), F.lit("::"), _hex(ID))
-    v4 = F.concat(F.lit("10.0."), (USER % 256).cast("string"), F.lit("."), (ID % 250).cast("string"))
-    block = F.floor(ID / 12)
+    is_v6 = (event_id() % 25 == 0) & (event_id() % 12 != 9)
+    v6 = F.concat(F.lit("2001:db8:"), _hex(user_id()), F.lit("::"), _hex(event_id()))
+    v4 = F.concat(F.lit("10.0."), (user_id() % 256).cast("string"), F.lit("."), (event_id() % 250).cast("string"))
+    block = F.floor(event_id() / 12)
     url = (
         F.when(block % 8 == 0, case(
-            F.floor(ID / 96) % 6, "/.env", "/.git/config", "/wp-login.php", "/admin/config/db.yml",
+            F.floor(event_id() / 96) % 6, "/.env", "/.git/config", "/wp-login.php", "/admin/config/db.yml",
             "/docs/.environment-setup", "/blog/using.gitlab-ci"))
         .otherwise(F.concat(
-            F.lit("/"), F.col("event_type"), F.lit("/"), USER.cast("string"),
-            F.when(ID % 9 == 0, F.concat(F.lit("?token="), ID.cast("string")))
-            .when(ID % 5 == 0, F.concat(F.lit("?page="), (ID % 7).cast("string")))
+            F.lit("/"), F.col("event_type"), F.lit("/"), user_id().cast("string"),
+            F.when(event_id() % 9 == 0, F.concat(F.lit("?token="), event_id().cast("string")))
+            .when(event_id() % 5 == 0, F.concat(F.lit("?page="), (event_id() % 7).cast("string")))
             .otherwise(F.lit(""))))
     )
     by_type = F.col("event_type")
@@ -59,15 +66,15 @@ def with_parts(ev: DataFrame) -> DataFrame:
     return ev.select(
         "event_id", "user_id", "event_type", "value",
         F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"),
-        (ID % 12).alias("kind"),
-        case(ID % 5, "+0000", "-0700", "+0200", "+0530", "").alias("offset"),
+        (event_id() % 12).alias("kind"),
+        case(event_id() % 5, "+0000", "-0700", "+0200", "+0530", "").alias("offset"),
         F.when(is_v6, v6).otherwise(v4).alias("ip"),
-        case(F.floor(ID / 96) % 4, "GET", "POST", "HEAD", "PUT").alias("method"),
+        case(F.floor(event_id() / 96) % 4, "GET", "POST", "HEAD", "PUT").alias("method"),
         url.alias("url"),
         status.cast("string").alias("status"),
         level.alias("level"),
         F.when(block % 3 == 0, seconds).otherwise(millis).alias("took"),
-        (ID * 7 % 24000).cast("string").alias("size"),
+        (event_id() * 7 % 24000).cast("string").alias("size"),
     )
 
 
@@ -89,7 +96,7 @@ def _quoted(c: Column) -> Column:
 
 def common_line() -> Column:
     """Common log; without a duration, as that layout is the short form here."""
-    size = F.when(ID % 7 == 3, "-").otherwise(F.col("size"))
+    size = F.when(event_id() % 7 == 3, "-").otherwise(F.col("size"))
     return F.concat(
         F.col("ip"), F.lit(" - - ["), F.date_format(F.col("ts"), "dd/MMM/yyyy:HH:mm:ss"), _zone(" "), F.lit('] "'),
         F.col("method"), F.lit(" "), F.col("url"), F.lit(' HTTP/1.1" '), F.col("status"), F.lit(" "), size)
@@ -97,13 +104,13 @@ def common_line() -> Column:
 
 def combined_line() -> Column:
     """Combined log with a timing tail; agent and referrer are empty on every 4th."""
-    agent = F.when(ID % 4 == 0, ' "" "" ').otherwise(' "-" "Mozilla/5.0 (X11; Linux x86_64)" ')
+    agent = F.when(event_id() % 4 == 0, ' "" "" ').otherwise(' "-" "Mozilla/5.0 (X11; Linux x86_64)" ')
     return F.concat(common_line(), agent, F.col("took"))
 
 
 def fixed8_line() -> Column:
     level = F.upper("level")
-    level = F.when(ID % 2 == 0, F.concat(F.lit("["), level, F.lit("]"))).otherwise(level)
+    level = F.when(event_id() % 2 == 0, F.concat(F.lit("["), level, F.lit("]"))).otherwise(level)
     return F.concat_ws(
         " ", F.concat(F.col("ts").cast("string"), _zone("", colon=True)), level,
         F.col("ip"), F.col("method"), F.col("url"), F.col("status"), F.col("took"))
@@ -115,7 +122,7 @@ def json_line() -> Column:
     text = {name: _quoted(F.col(name)) for name in ("level", "ip", "method", "url", "status", "took", "size")}
     request = _quoted(F.concat(F.col("method"), F.lit(" "), F.col("url"), F.lit(" HTTP/1.1")))
     return case(
-        ID % 3,
+        event_id() % 3,
         _json(**{"timestamp": iso, "level": text["level"], "client_ip": text["ip"], "method": text["method"],
                  "url": text["url"], "status": F.col("status"), "duration_ms": F.col("value").cast("string"),
                  "bytes": F.col("size")}),
@@ -136,15 +143,15 @@ def generic_line() -> Column:
 
 def rejected_line() -> Column:
     tail = case(
-        ID % 3,
-        F.concat(F.lit("Bearer abcdefgh"), ID.cast("string")),
-        F.concat(F.lit("user"), USER.cast("string"), F.lit("@example.com")),
-        F.concat(F.lit("password=pw"), ID.cast("string")))
+        event_id() % 3,
+        F.concat(F.lit("Bearer abcdefgh"), event_id().cast("string")),
+        F.concat(F.lit("user"), user_id().cast("string"), F.lit("@example.com")),
+        F.concat(F.lit("password=pw"), event_id().cast("string")))
     return F.concat(F.lit("could not read request from "), F.col("ip"), F.lit(" sent "), tail)
 
 
 def dropped_line() -> Column:
-    return F.when(ID % 24 == 11, "   ").otherwise(F.concat(F.lit("# rotated "), ID.cast("string")))
+    return F.when(event_id() % 24 == 11, "   ").otherwise(F.concat(F.lit("# rotated "), event_id().cast("string")))
 
 
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

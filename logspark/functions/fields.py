@@ -56,8 +56,3 @@ def first_present(candidates: list[Column]) -> Column:
 def status_class(status: Column) -> Column:
     """``2xx``, ``4xx`` and so on."""
     return F.concat(F.floor(status / 100).cast("string"), F.lit("xx"))
-
-
-def dash_to_null(text: Column) -> Column:
-    """``-`` in a size column means "not recorded", which is not zero."""
-    return F.nullif(text, F.lit("-"))

@@ -94,6 +94,11 @@ def replaced_parts(c: Column, pattern: str, replacement: str, separator: str) ->
     return F.transform(F.split(replaced, separator, -1), present)
 
 
+def exprs(*texts: str) -> list[Column]:
+    """Columns from SQL text: one call for what would take hundreds as objects."""
+    return [F.expr(text) for text in texts]
+
+
 def bind(c: Column, body) -> Column:
     """Evaluate ``c`` once and hand it to ``body``, which may use it repeatedly."""
     return F.get(F.transform(F.array(c), body), F.lit(0))

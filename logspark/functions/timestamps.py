@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark import fixed_values as V
-from logspark.functions.text import number_groups, present, replaced_parts, strip, unicode_space
+from logspark.functions.text import exprs, number_groups, replaced_parts, strip, unicode_space
 
 _SEP = "\x01"
 _ZONE = rf"(?:{V.UTC_OFFSET}|{V.ZONE_NAME})"
@@ -85,30 +85,22 @@ def checked_offset(text: str) -> str:
     )
 
 
-def _offset_minutes(offset: Column) -> Column:
-    size = F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast("int")
-    return F.when(F.substring(offset, 1, 1) == "-", -size).otherwise(size)
-
-
 def _written(df: DataFrame, parts: str, out: str) -> DataFrame:
     """Add the time the parts stand for, as written; NULL if there is no such time."""
     kept = df.columns
-    year, name, number, day, clock = (F.get(parts, F.lit(i)) for i in range(5))
-    by_name = F.expr(f"(instr('{''.join(V.MONTHS)}', lower({parts}[1])) + 2) div 3").cast("string")
-    rest = F.concat(
-        F.lit("-"), F.coalesce(number, F.when(name.isNotNull(), by_name)),
-        F.lit("-"), F.ltrim(day), F.lit(" "), F.coalesce(clock, F.lit("0:0:0")))
-    df = df.select(
-        *kept, F.when(F.size(parts) == 6, year).alias("_year"), F.when(F.size(parts) == 6, rest).alias("_rest"))
+    # Parts: year, month name, month number, day, time of day, zone.
+    month = f"coalesce({parts}[2], (instr('{''.join(V.MONTHS)}', lower({parts}[1])) + 2) div 3)"
+    rest = f"concat('-', {month}, '-', ltrim({parts}[3]), ' ', coalesce({parts}[4], '0:0:0'))"
+    df = df.select(*kept, *exprs(
+        f"if(size({parts}) = 6, {parts}[0], null) as _year", f"if(size({parts}) = 6, {rest}, null) as _rest"))
     # A date without a year is this year's, or last year's if that would put it
     # more than a day ahead. 29 February has no year to be checked against.
-    this_year = F.concat(F.year("_now").cast("string"), F.col("_rest")).try_cast("timestamp_ntz")
-    last_year = F.concat((F.year("_now") - 1).cast("string"), F.col("_rest")).try_cast("timestamp_ntz")
-    inferred = F.when(this_year > F.col("_now") + F.expr("interval 1 day"), last_year).otherwise(this_year)
-    return df.select(
-        *kept,
-        F.when(F.col("_year").isNotNull(), F.concat("_year", "_rest").try_cast("timestamp_ntz"))
-        .when(~F.col("_rest").rlike("^-0?2-29 "), inferred).alias(out))
+    this_year = "try_cast(concat(year(_now), _rest) as timestamp_ntz)"
+    last_year = "try_cast(concat(year(_now) - 1, _rest) as timestamp_ntz)"
+    return df.select(*kept, *exprs(
+        "case when _year is not null then try_cast(concat(_year, _rest) as timestamp_ntz)"
+        f" when not _rest rlike '^-0?2-29 ' then"
+        f" if({this_year} > _now + interval 1 day, {last_year}, {this_year}) end as {out}"))
 
 
 def with_timestamp(
@@ -150,24 +142,21 @@ def with_timestamp(
         F.size("_usual") < 6, replaced_parts(F.col("_text"), *_BARE, _SEP)))
     df = _written(df, "_again", "_at_last")
 
-    zone = F.when(F.length("_zone") < 4, F.lit("+0000")).otherwise(F.replace(F.col("_zone"), F.lit(":"), F.lit("")))
-    df = df.select(*kept, "_text", zone.alias("_zone"), F.coalesce("_at", "_at_last").alias("_at"))
-    zone = F.coalesce("_zone", F.lit(assumed)) if assumed else F.col("_zone")
-    in_utc = F.col("_at") - F.expr("interval '1' minute") * _offset_minutes(zone)
-    df = df.select(
-        *kept, "_text",
-        F.when(F.col("_at").isNotNull(), zone).otherwise(F.col("_zone")).alias("tz"),
-        F.when(zone.isNull() | (zone == "+0000"), F.col("_at")).otherwise(in_utc).alias("event_ts"),
-    )
-    # A time that could not be read is passed on as text.
-    gap, known = F.instr("_text", " "), F.col("event_ts").isNotNull()
-    hour, minute, second = (
-        F.lpad(part("event_ts").cast("string"), 2, "0") for part in (F.hour, F.minute, F.second))
-    rest = F.expr("substring(_text, instr(_text, ' ') + 1)")
-    return df.select(
-        *kept,
-        F.when(known, F.col("event_ts").cast("date").cast("string"))
-        .otherwise(present(F.when(gap > 0, F.substring_index("_text", " ", 1)).otherwise(F.col("_text")))).alias("date"),
-        F.when(known, F.concat_ws(":", hour, minute, second)).otherwise(present(F.when(gap > 0, rest))).alias("time"),
+    zone = f"coalesce(_zone, '{assumed}')" if assumed else "_zone"
+    df = df.select(*kept, *exprs(
+        "_text", "coalesce(_at, _at_last) as _at",
+        "if(length(_zone) < 4, '+0000', replace(_zone, ':', '')) as _zone"))
+    df = df.select(*kept, *exprs(
+        "_text", "_at", f"if(_at is not null, {zone}, _zone) as tz", f"{zone} as _zone"))
+    minutes = "(int(substr(_zone, 2, 2)) * 60 + int(substr(_zone, 4, 2))) * int(concat(left(_zone, 1), '1'))"
+    df = df.select(*kept, *exprs(
+        "_text", "tz",
+        f"if(_zone is null or _zone = '+0000', _at, _at - interval '1' minute * {minutes}) as event_ts"))
+    # A time that could not be read is passed on as text, cut at the first space.
+    clock = ", ".join(f"lpad({part}(event_ts), 2, '0')" for part in ("hour", "minute", "second"))
+    return df.select(*kept, *exprs(
+        "coalesce(string(date(event_ts)), nullif(substring_index(_text, ' ', 1), '')) as date",
+        f"if(event_ts is not null, concat_ws(':', {clock}),"
+        " if(instr(_text, ' ') > 0, nullif(substring(_text, instr(_text, ' ') + 1), ''), null)) as time",
         "tz", "event_ts",
-    )
+    ))

@@ -41,13 +41,13 @@ def extract(
     if reference_time is None and "file_mtime" in kept:
         reference_time = "file_mtime"
     # Raw fields get names of their own, as the lines may have such columns already.
-    lines = df.select(*[F.col(c).alias(f"_in_{c}") for c in kept])
-    df = computed_once(with_raw_fields(lines, f"_in_{line}", layouts))
-    kept_in = [f"_in_{c}" for c in kept]
+    inside = {c: f"_in_{i}" for i, c in enumerate(kept)}
+    lines = df.select(*[df[f"`{c}`"].alias(i) for c, i in inside.items()])
+    df = computed_once(with_raw_fields(lines, inside[line], layouts))
     df = df.withColumn("_request", X.split_request(F.col("request")))
     is_request = F.size("_request") == 2
     df = df.select(
-        *kept_in, "format", F.col("ts").alias("_ts"), F.upper("level").alias("level"), "ip",
+        *inside.values(), "format", F.col("ts").alias("_ts"), F.upper("level").alias("level"), "ip",
         F.coalesce("method", F.when(is_request, F.get("_request", F.lit(0)))).alias("method"),
         F.coalesce("url", F.when(is_request, F.get("_request", F.lit(1))).otherwise(F.col("request"))).alias("url"),
         X.to_status(F.col("status")).alias("status"),
@@ -55,9 +55,9 @@ def extract(
         "bytes", F.col("bytes").try_cast("bigint").alias("bytes_n"),
     )
     if isinstance(reference_time, str):
-        reference_time = f"_in_{reference_time}"
+        reference_time = inside[reference_time]
     df = with_timestamp(df, "_ts", assume_tz, reference_time)
-    df = df.select(*[F.col(i).alias(c) for i, c in zip(kept_in, kept)], *RECORD_COLUMNS, *DERIVED_COLUMNS)
+    df = df.select(*[F.col(i).alias(c) for c, i in inside.items()], *RECORD_COLUMNS, *DERIVED_COLUMNS)
     return computed_once(df)
 
 

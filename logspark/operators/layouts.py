@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from logspark import fixed_values as V
 from logspark.functions import fields as X
-from logspark.functions.text import number_groups, present, replaced_parts, strip, word_edges
+from logspark.functions.text import bind, exprs, number_groups, present, replaced_parts, word_edges
 from logspark.schema import RAW_FIELDS
 
 _GROUPS = (
@@ -112,22 +112,19 @@ def _alternation(layouts: Sequence[RegexLayout]) -> tuple[str, str]:
     return pattern, "\n".join(slots)
 
 
-def _regex_fields(parts: str, layouts: Sequence[RegexLayout]) -> dict[str, Column]:
-    """The fields in the split replacement; NULL throughout if nothing matched."""
-    stamps = [F.get(parts, F.lit(1 + i)) for i in range(len(layouts))]
-    fields = {
-        name: F.get(parts, F.lit(1 + len(layouts) + i)) for i, name in enumerate(_GROUPS)
-    }
-    label = None
+def _regex_fields(parts: str, layouts: Sequence[RegexLayout]) -> dict[str, str]:
+    """SQL for the fields in the split replacement; NULL throughout if nothing matched."""
+    stamps = [f"get({parts}, {1 + i})" for i in range(len(layouts))]
+    fields = {name: f"get({parts}, {1 + len(layouts) + i})" for i, name in enumerate(_GROUPS)}
+    labels = []
     for stamp, layout in zip(stamps, layouts):
-        name = F.lit(layout.name)
         if layout.pair_name:
-            name = F.when(fields["pair"].isNotNull(), F.lit(layout.pair_name)).otherwise(name)
-        label = F.when(stamp.isNotNull(), name) if label is None else label.when(stamp.isNotNull(), name)
-    fields["request"] = strip(fields["request"])
-    fields["bytes"] = X.dash_to_null(fields["bytes"])
-    fields["format"] = label
-    fields["ts"] = F.coalesce(*stamps)
+            labels.append(
+                f"when {stamp} is not null and {fields['pair']} is not null then '{layout.pair_name}'")
+        labels.append(f"when {stamp} is not null then '{layout.name}'")
+    fields["format"] = f"case {' '.join(labels)} end"
+    fields["ts"] = f"coalesce({', '.join(stamps)})"
+    fields["bytes"] = f"nullif({fields['bytes']}, '-')"
     return fields
 
 
@@ -160,64 +157,66 @@ _MAYBE_TYPED = r"^(?:-?0(?:\.0*)?(?:[eE].*)?|true|false|\[.*|\{.*)\z"
 _END = "line_ends_here"
 
 
-def _json_object(line: Column, keys: dict, value_type: str) -> Column:
-    """The aliases of one JSON object. A key added behind the last one is only
-    reached if the line is exactly one object, with nothing after it."""
+def _json_object(line: str, keys: dict, value_type: str) -> str:
+    """SQL for the aliases of one JSON object. A key added behind the last one is
+    only reached if the line is exactly one object, with nothing after it."""
     names = dict.fromkeys(name for aliases in keys.values() for name in aliases)
     columns = ", ".join(f"`{name}`: {value_type}" for name in names)
-    empty = line.rlike(r"^\{\s*\}\z")
-    closed = F.concat(
-        F.when(empty, "{").otherwise(F.concat(F.left(line, F.char_length(line) - 1), F.lit(","))),
-        F.lit(f'"{_END}":1}}'),
+    head = rf"if({line} rlike r'^\{{\s*\}}\z', '{{', concat(left({line}, char_length({line}) - 1), ','))"
+    return (
+        f"""from_json(concat({head}, '"{_END}":1}}'), 'struct<{columns}, {_END}: int>', """
+        "map('allowSingleQuotes', 'false'))"
     )
-    return F.from_json(closed, f"struct<{columns}, {_END}: int>", {"allowSingleQuotes": "false"})
 
 
-def _json_struct(line: Column, parsed: str, layout: JsonLayout) -> Column:
+def _json_struct(line: str, layout: JsonLayout) -> Column:
     """Raw fields from the chosen values, which are in columns ``_<field>``."""
     typed = _json_object(line, layout.keys, "variant")
 
-    def is_a(field_name: str, kind: str) -> Column:
-        # Only asked for the few texts above; the line is then read once more.
-        chosen = None
-        for name in layout.keys[field_name]:
-            here = present(F.col(parsed).getField(name)).isNotNull()
-            same = F.schema_of_variant(typed.getField(name)) == kind
-            chosen = F.when(here, same) if chosen is None else chosen.when(here, same)
-        return chosen
+    def kind(name: str) -> str:
+        # Only asked for the few texts below; the line is then read once more.
+        chosen = " ".join(
+            f"when nullif(_json.`{alias}`, '') is not null then schema_of_variant(typed.`{alias}`)"
+            for alias in layout.keys[name])
+        return f"transform(array({typed}), typed -> case {chosen} end)[0]"
 
     def truthy(name: str) -> Column:
-        value = F.col(f"_{name}")
-        typed_value = (
-            F.when(is_a(name, "STRING"), value).when(value.rlike(_ABSENT), None)
-            .when(value == "true", F.lit("True")).otherwise(value)
-        )
-        return F.when(value.rlike(_MAYBE_TYPED), typed_value).otherwise(value)
-
-    value = F.col("_duration")
-    number, unit = (F.when(F.contains(value, F.lit("s")), found) for found in X.find_duration(value))
-    odd = value.rlike(r"^(?:true|false|\[.*|\{.*)\z")
-    as_number = F.when(is_a("duration", "BOOLEAN"), F.when(value == "true", "1").otherwise("0"))
-    not_text = odd & ~is_a("duration", "STRING")
-    return F.when(F.col(parsed).getField(_END) == 1, raw_struct(
+        return F.expr(
+            f"case when _{name} rlike r'{_MAYBE_TYPED}' then case when {kind(name)} = 'STRING' then _{name}"
+            f" when _{name} rlike r'{_ABSENT}' then null when _{name} = 'true' then 'True' else _{name} end"
+            f" else _{name} end")
+
+    odd = F.expr(rf"case when _duration rlike r'^(?:true|false|\[.*|\{{.*)\z' then {kind('duration')} end")
+
+    def duration(kind_of: Column) -> Column:
+        value = F.col("_duration")
+        number, unit = (F.when(F.contains(value, F.lit("s")), found) for found in X.find_duration(value))
+        is_text = kind_of.isNull() | (kind_of == "STRING")
+        as_number = F.when(kind_of == "BOOLEAN", F.when(value == "true", "1").otherwise("0"))
+        return F.struct(
+            F.when(is_text, F.coalesce(number, X.float_text(value))).otherwise(as_number).alias("number"),
+            F.when(is_text, unit).alias("unit"))
+
+    took = bind(odd, duration)
+    return F.when(F.col("_json").getField(_END) == 1, raw_struct(
         format=F.lit(layout.name),
         **{name: truthy(name) for name in ("ts", "level", "ip", "method", "request", "bytes")},
         status=F.col("_status"),
-        duration=F.when(not_text, as_number).otherwise(F.coalesce(number, X.float_text(value))),
-        unit=F.when(~not_text, unit),
+        duration=took.getField("number"),
+        unit=took.getField("unit"),
     ))
 
 
 def _with_json(df: DataFrame, line: str, condition: Column, layout: JsonLayout, out: str) -> DataFrame:
     kept, text = df.columns, F.col(line)
-    df = df.select(*kept, F.when(
-        condition & text.startswith("{") & text.endswith("}"),
-        _json_object(text, layout.keys, "string")).alias("_json"))
-    df = df.select(*kept, "_json", *[
-        X.first_present([F.col("_json").getField(a) for a in aliases]).alias(f"_{name}")
-        for name, aliases in layout.keys.items()
-    ])
-    return df.select(*kept, _json_struct(text, "_json", layout).alias(out))
+    parsed = F.expr(_json_object(line, layout.keys, "string"))
+    df = df.select(*kept, F.when(condition & text.startswith("{") & text.endswith("}"), parsed).alias("_json"))
+    picks = []
+    for name, aliases in layout.keys.items():
+        values = ", ".join(f"nullif(_json.`{alias}`, '')" for alias in aliases)
+        picks.append(f"coalesce({values}) as _{name}")
+    df = df.select(*kept, *exprs("_json", *picks))
+    return df.select(*kept, _json_struct(line, layout).alias(out))
 
 
 # --- first match wins --------------------------------------------------------------------
@@ -245,7 +244,7 @@ def with_raw_fields(
     """
     kept, text = df.columns, F.col(line)
     unmatched = ~F.contains(text, F.lit("\n"))
-    found: list[dict[str, Column]] = []
+    found: list[dict[str, str]] = []
     for k, group in enumerate(_merged(layouts)):
         out, first = f"_layout{k}", group[0]
         if isinstance(first, RegexLayout):
@@ -259,15 +258,14 @@ def with_raw_fields(
             df = _with_json(df, line, unmatched, first, out)
         else:
             df = df.select(*df.columns, F.when(unmatched, first.recognise(text)).alias(out))
-        found.append({name: F.col(out).getField(name) for name in RAW_FIELDS})
+        found.append({name: f"{out}.{name}" for name in RAW_FIELDS})
         unmatched = unmatched & F.col(out).isNull()
-    names = [*RAW_FIELDS, "clock", "message"]
-    df = df.select(*kept, *[
-        F.coalesce(*[fields[name] for fields in found if name in fields], F.lit(None).cast("string")).alias(name)
-        for name in names
-    ])
-    ts = F.when(F.col("clock").isNull(), F.col("ts")).otherwise(F.concat_ws(" ", "ts", "clock"))
-    df = df.withColumn("ts", ts)
+    columns = []
+    for name in [*RAW_FIELDS, "clock", "message"]:
+        values = [fields[name] for fields in found if name in fields]
+        columns.append(f"coalesce({', '.join([*values, 'cast(null as string)'])}) as {name}")
+    df = df.select(*kept, *exprs(*columns))
+    df = df.withColumn("ts", F.expr("if(clock is null, ts, concat(ts, ' ', clock))"))
     if any("message" in fields for fields in found):
         df = _from_message(df)
     return df.select(*kept, *RAW_FIELDS)
