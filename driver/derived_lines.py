@@ -17,8 +17,19 @@ def user_id() -> Column:
 
 
 
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, spread over all cores if it comes in fewer splits.
+
+    A small file is one split however much work its rows are. A large table
+    has more splits than cores and is left as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
 
 
 def case(selector: Column, *values) -> Column:

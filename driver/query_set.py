@@ -124,8 +124,8 @@ URL_SUFFIXES = (
 
 def _page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = D.case(F.col("page_id") % 16, *URL_SUFFIXES)
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
-        "page_id", F.concat("url", suffix).alias("url"))
+    pages = D.table(spark, sf_dir, "pages", "page_id", "url")
+    return pages.select("page_id", F.concat("url", suffix).alias("url"))
 
 
 def path_segment_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def approx_top_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _documents(mask: Callable[[Column], Column], suffix: Callable[[], Column] | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        docs = D.table(spark, sf_dir, "documents", "doc_id", "text")
         text = F.col("text") if suffix is None else F.concat(F.col("text"), suffix())
         return docs.select("doc_id", text.alias("text")).select("doc_id", mask(F.col("text")).alias("text"))
     return query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logspark.operators.probes import probe_succeeded
 from logspark.operators.tallies import DURATION, REJECTED
+from logspark.plans.once import computed_once
 
 
 def weighted_percentiles(values: DataFrame, fractions: dict[str, float]) -> DataFrame:
@@ -52,6 +53,10 @@ def _rate(part: Column, total: Column) -> Column:
 
 def scalars(counts: DataFrame) -> DataFrame:
     """Every figure of the report from the counts of all entries, in one row."""
+    # The percentiles' filter must not change the counting below it: then both
+    # uses of the counts share one shuffle.
+    counts = computed_once(counts.select("tally", "key", "n"))
+
     def rows(tally: str, key: str | None = None) -> Column:
         hit = F.col("tally") == tally
         hit = hit if key is None else hit & (F.col("key") == key)

@@ -82,11 +82,20 @@ def process(lines: DataFrame, options: JobOptions = JobOptions()) -> DataFrame:
     return with_probe_columns(rows)
 
 
-def report(rows: DataFrame, options: JobOptions = JobOptions()) -> tuple[DataFrame, DataFrame]:
-    """``(tallies, scalars)`` of processed rows; no scalars row if nothing parsed."""
+def report(
+    rows: DataFrame, options: JobOptions = JobOptions(), counts_at: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(tallies, scalars)`` of processed rows; no scalars row if nothing parsed.
+
+    With ``counts_at`` the counts both are derived from are written there
+    first, so that the one large shuffle is not repeated for every figure.
+    """
     rows = rows.where(F.col("format").isNotNull() | F.col("line").isNotNull())
     if options.exact:
         counts = tally_counts(rows)
+        if counts_at:
+            counts.write.parquet(counts_at)
+            counts = rows.sparkSession.read.parquet(counts_at)
         tallies, one = top_keys(counts, options.top), scalars(counts)
     else:
         tallies, one = approx_top_keys(rows, options.top), approx_scalars(rows)
@@ -119,8 +128,9 @@ def run_job(
     landed_at = work_directory(spark, work_dir)
     columns = [*LANDED, *RECORD_COLUMNS, *DERIVED_COLUMNS, "is_probe", "status_class"]
     try:
-        process(read_lines(spark, inputs, options.partitions), options).select(*columns).write.parquet(landed_at)
-        landed = spark.read.parquet(landed_at)
+        rows_at = f"{landed_at}/rows"
+        process(read_lines(spark, inputs, options.partitions), options).select(*columns).write.parquet(rows_at)
+        landed = spark.read.parquet(rows_at)
         records = landed.where(F.col("format").isNotNull())
         unread = landed.where(F.col("format").isNull() & F.col("line").isNotNull())
         rejected = with_line_numbers(unread, landed).select("file", "lineno", "line")
@@ -128,7 +138,7 @@ def run_job(
             write_rejected(rejected, rejected_output)
         if output:
             write_csv(records, output, options.gzip)
-        tallies, one = report(landed, options)
+        tallies, one = report(landed, options, f"{landed_at}/counts")
     except BaseException:
         delete(spark, landed_at)
         raise
