@@ -21,11 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """Columns of a table, spread over all cores if it comes in fewer splits.
 
     A small file is one split however much work its rows are. A large table
-    has more splits than cores and is left as it is.
+    has more splits than cores and is left as it is. The first column is a
+    unique key, so its hash spreads the rows evenly.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

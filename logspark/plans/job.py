@@ -27,7 +27,12 @@ LANDED = ("file", "block_start", "pos", "line")
 
 @dataclass(frozen=True)
 class JobOptions:
-    """What a run can be told. ``exact=False`` takes sketches for the report."""
+    """What a run can be told.
+
+    ``exact=False`` takes sketches for the report. ``partitions`` spreads lines
+    of gzipped files. ``ordered`` sorts the CSV by file and line, so that its
+    parts in name order have the rows in the order they were read.
+    """
 
     redact: Redactor = keep
     assume_tz: str | None = None
@@ -36,6 +41,7 @@ class JobOptions:
     exact: bool = True
     top: int = 10
     gzip: bool = False
+    ordered: bool = False
     partitions: int | None = None
 
     def __post_init__(self):
@@ -137,7 +143,7 @@ def run_job(
         if rejected_output:
             write_rejected(rejected, rejected_output)
         if output:
-            write_csv(records, output, options.gzip)
+            write_csv(records.orderBy("file", "pos") if options.ordered else records, output, options.gzip)
         tallies, one = report(landed, options, f"{landed_at}/counts")
     except BaseException:
         delete(spark, landed_at)

@@ -21,19 +21,19 @@ def read_lines(spark: SparkSession, paths: str | list[str], partitions: int | No
         F.monotonically_increasing_id().alias("pos"),
         F.make_valid_utf8("value").alias("line"),
     )
-    return lines.repartition(partitions) if partitions else lines
+    # By hash of the unique position: even, and the same again if a task is retried.
+    return lines.repartition(partitions, "pos") if partitions else lines
 
 
 def undecoded_gzip(lines: DataFrame) -> DataFrame:
     """Files that are gzip inside without a ``.gz`` name, which Spark reads as text.
 
-    Looks at the first line of each file only, but has to scan for it.
+    Only the first line of each file decides, but the files are scanned for it.
     """
-    first = F.min_by("line", "pos")
-    return (
-        lines.where(F.col("block_start") == 0).groupBy("file").agg(first.alias("line"))
-        .where(F.col("line").startswith("\x1f�")).select("file")
-    )
+    is_gzip = F.col("line").startswith("\x1f\ufffd")
+    firsts = lines.where(F.col("block_start") == 0).groupBy("file").agg(
+        F.min("pos").alias("first"), F.min(F.when(is_gzip, F.col("pos"))).alias("first_gzip"))
+    return firsts.where(F.col("first") == F.col("first_gzip")).select("file")
 
 
 def with_line_numbers(df: DataFrame, lines: DataFrame | None = None) -> DataFrame:

@@ -73,6 +73,15 @@ def test_gzip_in_and_out(spark, samples, tmp_path):
     assert "Date,Time,TZ" in text
 
 
+def test_ordered_output_keeps_the_order_of_the_lines(spark, tmp_path):
+    path = tmp_path / "a.log.gz"
+    with gzip.open(path, "wt") as f:
+        f.writelines(f"2026-07-26 02:51:28 INFO 10.0.0.5 GET /{i} 200 1ms\n" for i in range(500))
+    _, csv_at, _ = run(spark, path, tmp_path, ordered=True, partitions=5)
+    rows = [row for p in parts(csv_at) for row in csv.reader(open(p, newline="")) if row[0] != "Date"]
+    assert [row[6] for row in rows] == [f"/{i}" for i in range(500)]
+
+
 def test_gzip_without_its_suffix_is_reported(spark, samples, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "b.log").write_bytes(gzip.compress("\n".join(samples.values()).encode()))
