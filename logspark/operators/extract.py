@@ -29,13 +29,16 @@ def extract(
     layouts: Sequence[Layout] = DEFAULT_LAYOUTS,
     assume_tz: str | None = None,
     reference_time: str | datetime | None = None,
+    rejected_text_only: bool = False,
 ) -> DataFrame:
     """Add the record columns to a dataset of stripped lines.
 
     A line that fits no layout keeps NULL in all of them, ``format`` included;
     see :func:`parsed` and :func:`rejected`. The year of a date without one
     comes from ``reference_time``, a time or the name of a column, else from the
-    column ``file_mtime`` if the lines have it, else from the clock.
+    column ``file_mtime`` if the lines have it, else from the clock. With
+    ``rejected_text_only`` the line itself is kept only where nothing fits, which
+    spares copying it through the steps that follow.
     """
     kept = df.columns
     if reference_time is None and "file_mtime" in kept:
@@ -44,6 +47,8 @@ def extract(
     inside = {c: f"_in_{i}" for i, c in enumerate(kept)}
     lines = df.select(*[df[f"`{c}`"].alias(i) for c, i in inside.items()])
     df = computed_once(with_raw_fields(lines, inside[line], layouts))
+    if rejected_text_only:
+        df = df.withColumn(inside[line], F.when(F.col("format").isNull(), F.col(inside[line])))
     df = df.withColumn("_request", X.split_request(F.col("request")))
     is_request = F.size("_request") == 2
     df = df.select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.urls import describe_hit
 from logspark.operators.probes import is_broken_link, probe_succeeded
+from logspark.plans.once import computed_once
 
 #: In the order a report shows them.
 TALLIES = (
@@ -75,6 +76,9 @@ def top_keys(counts: DataFrame, k: int = 10) -> DataFrame:
     The rank filter is applied per task before the shuffle, so no task sees
     all keys of a tally.
     """
+    # The two filters must not change the counting below them: both branches
+    # then read one shuffle.
+    counts = computed_once(counts)
     order = Window.partitionBy("tally").orderBy(F.desc("n"), "first_seen", "key")
     top = (
         counts.where(~F.col("tally").isin(*LISTED_IN_FULL, DURATION, REJECTED))

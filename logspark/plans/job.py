@@ -76,15 +76,10 @@ def process(lines: DataFrame, options: JobOptions = JobOptions()) -> DataFrame:
     lines = lines.withColumn("line", text)
     meaningful = (F.col("line") != "") & ~F.col("line").startswith("#")
     lines = lines.withColumn("line", F.when(meaningful, F.col("line")))
-    rows = extract(lines, "line", options.layouts, options.assume_tz, options.reference_time)
+    rows = extract(
+        lines, "line", options.layouts, options.assume_tz, options.reference_time, rejected_text_only=True)
     if options.redact is not keep:
-        rows = rows.withColumns({
-            "ip": options.redact(F.col("ip")),
-            "url": options.redact(F.col("url")),
-            "line": F.when(F.col("format").isNull(), options.redact(F.col("line"))),
-        })
-    else:
-        rows = rows.withColumn("line", F.when(F.col("format").isNull(), F.col("line")))
+        rows = rows.withColumns({name: options.redact(F.col(name)) for name in ("ip", "url", "line")})
     return with_probe_columns(rows)
 
 
