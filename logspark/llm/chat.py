@@ -61,9 +61,9 @@ ESCAPES = ((r"<(?=\||/?s>|</?SYS>>)", "<", "\\l"), (r"\[(?=/?INST\])", "[", "\\o
 
 def parse(record: Column) -> Column:
     """The known fields of a JSON record; null where it is no JSON object."""
-    lists = ",".join(f"{k}:array<struct<`{r}`:string,`{t}`:string>>" for k, (r, t) in LISTS.items())
+    lists = ",".join(f"{k} array<struct<`{r}`:string,`{t}`:string>>" for k, (r, t) in LISTS.items())
     options = {"maxStringLen": str(2**31 - 1), "mode": "PERMISSIVE"}
-    return F.from_json(record, ",".join(f"{t}:string" for t in TEXTS) + "," + lists, options)
+    return F.from_json(record, ",".join(f"{t} string" for t in TEXTS) + "," + lists, options)
 
 
 def paths(parsed: Column) -> Column:
