@@ -64,9 +64,13 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def evidence(text: Column, model: tuple[float, dict[str, float]]) -> Column:
-    """Log odds of good quality by the text alone."""
+    """Log odds of good quality by the text alone.
+
+    Never null, so that no filter on a score makes the optimizer test the features for
+    null below the join, which would compute them once more.
+    """
     intercept, weights = model
-    return F.lit(intercept) + sum(F.lit(weights[k]) * c for k, c in features(text).items())
+    return F.coalesce(F.lit(intercept) + sum(F.lit(weights[k]) * c for k, c in features(text).items()), F.lit(0.0))
 
 
 def _chance(log_odds: Column) -> Column:
