@@ -18,15 +18,14 @@ def user_id() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table, spread over all cores if it comes in fewer splits.
+    """Columns of a table, spread over all cores by its first column, a unique key.
 
-    A small file is one split however much work its rows are. A large table
-    has more splits than cores and is left as it is. The first column is a
-    unique key, so its hash spreads the rows evenly.
+    The lines made of a row are much more work than the row is to shuffle, and a
+    file can be one split however many rows it has.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, columns[0]) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, columns[0])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,12 +178,8 @@ SUSPICIOUS = f"""{PAGE_PATHS} SELECT page_id,
 
 # --- redaction of free text ----------------------------------------------------------------------
 
-SECRET_KEYS = (
-    r"api[_-]?key|access[_-]?token|refresh[_-]?token|id[_-]?token|auth(?:orization)?|bearer|secret|signature|"
-    r"sig|token|session(?:[_-]?id)?|sid|passw(?:or)?d|pwd|otp|nonce|cookie"
-)
 SECRETS = (
-    rf"(?i)\b({SECRET_KEYS})\b(\s*[=:]\s*)(?:\"[^\"]*\"|'[^']*'|[^\s&;,\"']+)".replace('\\"', '"')
+    rf"(?i)\b({V.SECRET_KEYS})\b(\s*[=:]\s*)(?:\"[^\"]*\"|'[^']*'|[^\s&;,\"']+)".replace('\\"', '"')
 )
 
 
@@ -245,6 +241,10 @@ ORACLES = {
         "SELECT 'log-' || (event_id % 3) AS file, format, count(*) AS n FROM records GROUP BY 1, 2"),
     "summary_tallies": mixed(" UNION ALL ".join(
         f"SELECT '{name}' AS tally, * FROM ({tally(name)})" for name in TALLIES)),
+    "approx_tallies": mixed(" UNION ALL ".join(
+        f"SELECT '{name}' AS tally, * FROM ({tally(name)})" for name in ("format", "status_class", "level"))),
+    "approx_bounds": "SELECT true AS holds",
+    "top_2000_urls": mixed(tally("url").replace("rank <= 10", "rank <= 2000")),
     "traffic_totals": mixed(TOTALS),
     "latency_percentiles": mixed(
         f"SELECT {PERCENTILE.format(f=0.5)} AS p50_ms, {PERCENTILE.format(f=0.95)} AS p95_ms"),

@@ -158,11 +158,11 @@ def format_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(_rows(spark, sf_dir))[0]
+    return A.top_keys(A.tally_counts(_rows(spark, sf_dir)))
 
 
 def traffic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(_rows(spark, sf_dir))[1]
+    return S.scalars(A.tally_counts(_rows(spark, sf_dir))).where("parsed > 0")
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,26 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approx_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(_rows(spark, sf_dir), JobOptions(exact=False))[1]
+    return S.approx_scalars(_rows(spark, sf_dir)).where("parsed > 0")
+
+
+def approx_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the estimated number of addresses lies within its stated bounds."""
+    rows = _rows(spark, sf_dir)
+    exact = S.scalars(A.tally_counts(rows, ("ip",))).select(F.col("unique_ips").alias("ips"))
+    estimate = S.approx_scalars(rows).select("unique_ips_low", "unique_ips_high")
+    both = exact.unionByName(estimate, allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return both.select(F.col("ips").between(F.col("unique_ips_low"), F.col("unique_ips_high")).alias("holds"))
+
+
+def approx_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sketched report counts exactly."""
+    return A.approx_top_keys(_rows(spark, sf_dir)).where("exact").select("tally", "key", "n", "rank")
+
+
+def top_2000_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.top_keys(A.tally_counts(_rows(spark, sf_dir), ("url",)), 2000).select("key", "n", "rank")
 
 
 def approx_top_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,6 +282,9 @@ QUERIES: dict[str, Query] = {
     "summary_tallies": summary_tallies,
     "traffic_totals": traffic_totals,
     "latency_percentiles": latency_percentiles,
+    "approx_bounds": approx_bounds,
+    "approx_tallies": approx_tallies,
+    "top_2000_urls": top_2000_urls,
     "approx_totals": approx_totals,
     "approx_top_ips": approx_top_ips,
     "redact_secrets": _documents(R.mask_secrets),

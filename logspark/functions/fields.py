@@ -45,12 +45,9 @@ def split_request(text: Column) -> Column:
     The array has a single element, the text as given, if it is no request line.
     The separator is white space, so it cannot be part of a request line.
     """
-    return F.split(F.regexp_replace(text, _REQUEST, "$1\n$2"), "\n", -1)
-
-
-def first_present(candidates: list[Column]) -> Column:
-    """First value that is neither NULL nor empty."""
-    return F.coalesce(*[present(c) for c in candidates])
+    parts = F.split(F.regexp_replace(text, _REQUEST, "$1\n$2"), "\n", -1)
+    # Text of its own may hold the separator.
+    return F.when(text.contains("\n") & ~text.rlike(_REQUEST), F.array(text)).otherwise(parts)
 
 
 def status_class(status: Column) -> Column:

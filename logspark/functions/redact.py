@@ -13,6 +13,7 @@ from logspark.functions.text import bind, word_edges
 Redactor = Callable[[Column], Column]
 
 _SECRET = word_edges(V.SECRET_PAIR)
+_SECRET_STRICT = word_edges(V.SECRET_PAIR_STRICT)
 _AUTH = word_edges(V.AUTH_SCHEME)
 _EMAIL = word_edges(V.EMAIL)
 # Every address has one of these; a clock time has neither.
@@ -24,6 +25,11 @@ def mask_secrets(text: Column) -> Column:
     return F.regexp_replace(text, _SECRET, "$1$2***")
 
 
+def mask_secrets_strict(text: Column) -> Column:
+    """The same for keys in quotes (``"token": "x"``) and inside words (``user_token=x``) too."""
+    return F.regexp_replace(text, _SECRET_STRICT, "$1$2***")
+
+
 def mask_auth(text: Column) -> Column:
     """``Bearer abcdefgh`` becomes ``Bearer ***``."""
     return F.regexp_replace(text, _AUTH, "$1 ***")
@@ -97,9 +103,9 @@ def _mask_token(token: Column, ipv4_bits: int, ipv6_bits: int) -> Column:
 def mask_ipv6(
     text: Column, bits: int = V.IPV6_MASK_BITS, ipv4_bits: int = V.IPV4_MASK_BITS
 ) -> Column:
-    """Keep the routing prefix of every IPv6 address in a text.
+    """Zero all but the first ``bits`` of the IPv6 addresses in a text.
 
-    An IPv4-mapped address is masked inside the mapping instead.
+    ``::ffff:a.b.c.d`` stands for an IPv4 address and is masked like one.
     """
     if bits not in (16, 32, 48, 64):
         raise ValueError("IPv6 addresses are masked to 16, 32, 48 or 64 bits")
@@ -118,12 +124,21 @@ def mask_ipv6(
 def anonymise(
     text: Column, ipv4_bits: int = V.IPV4_MASK_BITS, ipv6_bits: int = V.IPV6_MASK_BITS
 ) -> Column:
-    """All masks. Secrets go first, so that one with dotted digits is blanked
-    whole, and IPv6 before IPv4, so that a mapped address is seen as one."""
+    """Every mask in turn. A secret may hold what looks like an address, so
+    secrets are blanked before addresses are looked for; of those, IPv6 comes
+    first, or the dotted tail of a mapped one would be taken for IPv4."""
     text = mask_email(mask_auth(mask_secrets(text)))
     return mask_ipv4(mask_ipv6(text, ipv6_bits, ipv4_bits), ipv4_bits)
 
 
+def anonymise_strict(
+    text: Column, ipv4_bits: int = V.IPV4_MASK_BITS, ipv6_bits: int = V.IPV6_MASK_BITS
+) -> Column:
+    """:func:`anonymise` with credentials behind ``Bearer`` masked before keys, and with more keys."""
+    text = mask_email(mask_secrets_strict(mask_auth(text)))
+    return mask_ipv4(mask_ipv6(text, ipv6_bits, ipv4_bits), ipv4_bits)
+
+
 def keep(text: Column) -> Column:
     """No redaction."""
     return text

@@ -86,12 +86,14 @@ def number_groups(pattern: str) -> dict[str, int]:
 def replaced_parts(c: Column, pattern: str, replacement: str, separator: str) -> Column:
     """Match once and split the replacement into parts, NULL where one is empty.
 
-    Text that does not match comes back as a single part. The lambda also keeps
+    Text that does not match comes back as a single part, and so does text that
+    holds the separator, which no pattern may match. The lambda also keeps
     the projection out of whole-stage code, where it and its neighbours would
     end up in one method too large for the JIT compiler.
     """
     replaced = F.regexp_replace(c, unicode_space(pattern), replacement)
-    return F.transform(F.split(replaced, separator, -1), present)
+    parts = F.when(c.contains(separator), F.array(c)).otherwise(F.split(replaced, separator, -1))
+    return F.transform(parts, present)
 
 
 def exprs(*texts: str) -> list[Column]:

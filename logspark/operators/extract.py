@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.fixed_values import CSV_COLUMNS, CSV_HEADERS
+from logspark.fixed_values import CSV_HEADERS
 from logspark.functions import fields as X
 from logspark.functions.text import strip
 from logspark.functions.timestamps import with_timestamp
@@ -78,6 +78,4 @@ def rejected(df: DataFrame) -> DataFrame:
 
 def csv_projection(df: DataFrame) -> DataFrame:
     """The eleven record columns in their fixed order under their CSV names."""
-    from logspark.fixed_values import CSV_COLUMNS, CSV_HEADERS
-
-    return df.select(*[F.col(c).alias(h) for c, h in zip(CSV_COLUMNS, CSV_HEADERS)])
+    return df.select(*[F.col(c).alias(h) for c, h in zip(RECORD_COLUMNS, CSV_HEADERS)])

@@ -61,6 +61,8 @@ class RegexLayout:
         unknown = set(names) - set(_GROUPS) - {"ts"}
         if unknown:
             raise ValueError(f"layout {self.name!r} has unknown groups {sorted(unknown)}")
+        if any(m[1] in "123456789" for m in re.finditer(r"(?s)\\(.)", self.pattern)):
+            raise ValueError(f"layout {self.name!r} refers to a group by number, which merging changes: use \\k<name>")
 
 
 @dataclass(frozen=True)
@@ -99,8 +101,9 @@ def _alternation(layouts: Sequence[RegexLayout]) -> tuple[str, str]:
     which tells the layouts apart, and one per shared group. A line of text
     holds no line break, so the parts cannot be confused.
     """
+    # Each body is a group of its own, so that its inline flags end with it.
     bodies = [
-        re.sub(r"\(\?<([a-zA-Z][a-zA-Z0-9]*)>", rf"(?<L{i}\1>", layout.pattern)
+        "(?:" + re.sub(r"(\(\?|\\k)<([a-zA-Z][a-zA-Z0-9]*)>", rf"\1<L{i}\2>", layout.pattern) + ")"
         for i, layout in enumerate(layouts)
     ]
     pattern = "^(?:" + "|".join(bodies) + r")\z"

@@ -51,11 +51,19 @@ def _rate(part: Column, total: Column) -> Column:
     return F.try_divide(part.cast("double"), total.cast("double")) * 100
 
 
-def scalars(counts: DataFrame) -> DataFrame:
-    """Every figure of the report from the counts of all entries, in one row."""
+#: Entries that totals are made of.
+_SUMMED = ("format", REJECTED, "ip", DURATION, "status_class", "probe_ip", "probe_hit")
+
+
+def scalars(counts: DataFrame, landed: bool = False) -> DataFrame:
+    """Every figure of the report from the counts of all entries, in one row.
+
+    ``landed`` counts are a written table, of which only the entries needed are read.
+    """
+    counts = counts.select("tally", "key", "n")
     # The percentiles' filter must not change the counting below it: then both
     # uses of the counts share one shuffle.
-    counts = computed_once(counts.select("tally", "key", "n"))
+    counts = counts if landed else computed_once(counts)
 
     def rows(tally: str, key: str | None = None) -> Column:
         hit = F.col("tally") == tally
@@ -66,7 +74,7 @@ def scalars(counts: DataFrame) -> DataFrame:
     value = F.when(is_duration, F.col("key").try_cast("bigint"))
     # A sum of 64-bit products can overflow on a single absurd value.
     total = F.sum(value.cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)"))
-    totals = counts.agg(
+    totals = counts.where(F.col("tally").isin(*_SUMMED)).agg(
         rows("format").alias("parsed"),
         rows(REJECTED).alias("skipped"),
         F.count_if(F.col("tally") == "ip").alias("unique_ips"),
@@ -96,9 +104,10 @@ def scalars(counts: DataFrame) -> DataFrame:
 def approx_scalars(df: DataFrame, rsd: float = 0.02, accuracy: int = 10000) -> DataFrame:
     """The same figures in one pass without any shuffle of keys.
 
-    Distinct addresses are estimated within ``rsd`` (relative standard
-    deviation), percentiles to a rank error of ``1 / accuracy``; the rest is
-    exact. ``percentiles_exact`` says so.
+    Distinct addresses are estimated with the relative standard deviation
+    ``rsd``; ``unique_ips_low`` and ``unique_ips_high`` are three of it away.
+    Percentiles have a rank error of ``1 / accuracy``; the rest is exact.
+    ``percentiles_exact`` says so.
     """
     has_status = F.count("status")
     fractions = F.array(*[F.lit(f) for f in PERCENTILES.values()])
@@ -115,4 +124,6 @@ def approx_scalars(df: DataFrame, rsd: float = 0.02, accuracy: int = 10000) -> D
         F.count_if(probe_succeeded()).alias("probe_successes"),
     )
     one = one.withColumns({name: F.get("_p", F.lit(i)) for i, name in enumerate(PERCENTILES)})
-    return one.withColumn("percentiles_exact", F.lit(False)).select(*SCALARS)
+    bounds = {"unique_ips_low": F.floor(F.col("unique_ips") * (1 - 3 * rsd)),
+              "unique_ips_high": F.ceil(F.col("unique_ips") * (1 + 3 * rsd))}
+    return one.withColumn("percentiles_exact", F.lit(False)).withColumns(bounds).select(*SCALARS, *bounds)

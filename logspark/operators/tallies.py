@@ -21,6 +21,12 @@ TALLIES = (
 )
 #: Listed in full: the number of keys is bounded by the layouts and by ten classes.
 LISTED_IN_FULL = ("format", "status_class")
+#: Counted exactly even where the others are sketched: their keys are few.
+FEW_KEYS = (*LISTED_IN_FULL, "level")
+#: Parts in which the keys of a tally are ranked before the tally is.
+RANK_PARTS = 64
+#: Items that a sketch may track at most, by Spark.
+MOST_TRACKED = 1_000_000
 #: Entries the scalars are computed from; not tallies of their own.
 DURATION, REJECTED = "duration_ms", "rejected"
 
@@ -69,25 +75,32 @@ def tally_counts(df: DataFrame, tallies: tuple[str, ...] | None = None, pos: str
     )
 
 
-def top_keys(counts: DataFrame, k: int = 10) -> DataFrame:
+def top_keys(counts: DataFrame, k: int = 10, landed: bool = False) -> DataFrame:
     """``(tally, key, n, rank)``: the ``k`` largest per tally, first seen first.
 
     Formats and status classes are listed in full, classes in their own order.
-    The rank filter is applied per task before the shuffle, so no task sees
-    all keys of a tally.
+    Keys are ranked in parts of a tally first and the ``k`` best of every part
+    then in the tally, so no task sees all keys of one, however large ``k``.
+    ``landed`` counts are a written table, whose scan takes the filters.
     """
-    # The two filters must not change the counting below them: both branches
-    # then read one shuffle.
-    counts = computed_once(counts)
-    order = Window.partitionBy("tally").orderBy(F.desc("n"), "first_seen", "key")
+    if not landed:
+        # The two filters must not change the counting below them: both branches
+        # then read one shuffle.
+        counts = computed_once(counts)
+    by_size = (F.desc("n"), "first_seen", "key")
+    in_part = Window.partitionBy("tally", "part").orderBy(*by_size)
+    order = Window.partitionBy("tally").orderBy(*by_size)
     top = (
         counts.where(~F.col("tally").isin(*LISTED_IN_FULL, DURATION, REJECTED))
+        .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(RANK_PARTS)))
+        .withColumn("rank", F.row_number().over(in_part)).where(F.col("rank") <= k)
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     )
     by_class = F.when(F.col("tally") == "status_class", F.col("key"))
     listed = Window.partitionBy("tally").orderBy(by_class, F.desc("n"), "first_seen")
     full = counts.where(F.col("tally").isin(*LISTED_IN_FULL)).withColumn("rank", F.row_number().over(listed))
-    return top.unionByName(full).select("tally", "key", "n", F.col("rank").cast("int").alias("rank"))
+    return top.select("tally", "key", "n", "rank").unionByName(full.select("tally", "key", "n", "rank")).select(
+        "tally", "key", "n", F.col("rank").cast("int").alias("rank"))
 
 
 def format_profile(df: DataFrame) -> DataFrame:
@@ -95,11 +108,17 @@ def format_profile(df: DataFrame) -> DataFrame:
     return df.where(F.col("format").isNotNull()).groupBy("file", "format").agg(F.count(F.lit(1)).alias("n"))
 
 
-def approx_top_keys(df: DataFrame, k: int = 10, tracked: int = 10000) -> DataFrame:
-    """:func:`top_keys` from bounded sketches: no shuffle of keys, counts are estimates."""
-    tallies = tuple(t for t in TALLIES if t not in LISTED_IN_FULL)
-    sketched = tally_entries(df.withColumn("_pos", F.lit(0)), tallies, "_pos").groupBy("tally").agg(
+def approx_top_keys(df: DataFrame, k: int = 10, tracked: int | None = None) -> DataFrame:
+    """:func:`top_keys` with a column ``exact``: the tallies of many keys come from bounded sketches.
+
+    Those need no shuffle of keys and their counts are estimates; formats, status
+    classes and levels are counted. A sketch tracks 100 times ``k`` items unless told.
+    """
+    tracked = tracked or max(10_000, min(100 * k, MOST_TRACKED))
+    many = tuple(t for t in TALLIES if t not in FEW_KEYS)
+    sketched = tally_entries(df.withColumn("_pos", F.lit(0)), many, "_pos").groupBy("tally").agg(
         F.expr(f"approx_top_k(key, {int(k)}, {int(tracked)})").alias("top"))
-    return sketched.select("tally", F.posexplode("top").alias("at", "hit")).select(
+    estimates = sketched.select("tally", F.posexplode("top").alias("at", "hit")).select(
         "tally", F.col("hit.item").alias("key"), F.col("hit.count").alias("n"),
-        (F.col("at") + 1).cast("int").alias("rank"))
+        (F.col("at") + 1).cast("int").alias("rank"), F.lit(False).alias("exact"))
+    return top_keys(tally_counts(df, FEW_KEYS), k).withColumn("exact", F.lit(True)).unionByName(estimates)

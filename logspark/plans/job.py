@@ -95,9 +95,12 @@ def report(
     if options.exact:
         counts = tally_counts(rows)
         if counts_at:
-            counts.write.parquet(counts_at)
-            counts = rows.sparkSession.read.parquet(counts_at)
-        tallies, one = top_keys(counts, options.top), scalars(counts)
+            counts.write.partitionBy("tally").parquet(counts_at)
+            counts = rows.sparkSession.read.schema(counts.schema).parquet(counts_at)
+        landed = counts_at is not None
+        tallies = top_keys(counts, options.top, landed).withColumn("exact", F.lit(True))
+        one = scalars(counts, landed).withColumns(
+            {"unique_ips_low": F.col("unique_ips"), "unique_ips_high": F.col("unique_ips")})
     else:
         tallies, one = approx_top_keys(rows, options.top), approx_scalars(rows)
     return tallies, one.where(F.col("parsed") > 0)

@@ -1,22 +1,7 @@
-"""Column lists and types of the datasets the engine produces."""
-
-from pyspark.sql import types as T
+"""Column lists of the datasets the engine produces."""
 
 from logspark.fixed_values import CSV_COLUMNS
 
-RECORD_TYPES = {
-    "date": T.StringType(),
-    "time": T.StringType(),
-    "tz": T.StringType(),
-    "level": T.StringType(),
-    "ip": T.StringType(),
-    "method": T.StringType(),
-    "url": T.StringType(),
-    "status": T.IntegerType(),
-    "duration_ms": T.LongType(),
-    "bytes": T.StringType(),
-    "format": T.StringType(),
-}
 RECORD_COLUMNS = CSV_COLUMNS
 DERIVED_COLUMNS = ("event_ts", "bytes_n")
 
@@ -25,10 +10,3 @@ RAW_FIELDS = (
     "format", "ts", "level", "ip", "method", "url", "request",
     "status", "duration", "unit", "bytes",
 )
-
-# Where a line came from. ``pos`` increases along every file.
-ORIGIN_COLUMNS = ("file", "block_start", "pos", "file_mtime")
-
-
-def record_schema() -> T.StructType:
-    return T.StructType([T.StructField(name, RECORD_TYPES[name]) for name in RECORD_COLUMNS])

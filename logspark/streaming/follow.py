@@ -13,7 +13,9 @@ from logspark.plans.job import JobOptions
 
 def stream_records(spark: SparkSession, directory: str, options: JobOptions = JobOptions()) -> DataFrame:
     """A streaming DataFrame of records and rejected lines (``format`` NULL)."""
-    lines = spark.readStream.text(directory).select(F.make_valid_utf8("value").alias("line"))
+    lines = spark.readStream.text(directory).select(
+        F.make_valid_utf8("value").alias("line"),
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("file_mtime"))
     rows = extract(
         meaningful_lines(lines), "line", options.layouts, options.assume_tz, options.reference_time)
     return rows.withColumns({name: options.redact(F.col(name)) for name in ("ip", "url", "line")})

@@ -77,3 +77,19 @@ def test_secrets_schemes_and_mail(spark):
     assert apply(spark, R.anonymise, list(pairs)) == list(pairs.values())
     assert apply(spark, R.anonymise, [None, ""]) == [None, ""]
     assert apply(spark, R.keep, ["10.0.0.1"]) == ["10.0.0.1"]
+
+
+STRICT = [
+    ("Authorization: Bearer abcdefghij", "abcdefghij"), ('{"token": "abc"}', "abc"), ("user_token=abc", "abc"),
+    ("PHPSESSID=x1; sid=abc", "abc"), ("password: 'a b'", "a b"),
+]
+
+
+def test_the_strict_redactor_masks_what_the_default_leaves(spark):
+    from logspark.functions.redact import anonymise_strict
+
+    df = spark.createDataFrame([(t,) for t, _ in STRICT], "t string")
+    for (text, secret), r in zip(STRICT, df.select(anonymise_strict(F.col("t")).alias("m")).collect()):
+        assert secret not in r.m and "***" in r.m, (text, r.m)
+    plain = spark.createDataFrame([("nothing to hide here, 12:30",)], "t string")
+    assert plain.select(anonymise_strict(F.col("t"))).first()[0] == "nothing to hide here, 12:30"
