@@ -91,7 +91,7 @@ def is_valid(kind: str, match: Column) -> Column:
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
-        part = "0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+        part = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{0,2})"  # what follows leading zeros, nothing after zeros alone
         return match.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
         return F.length(digits).between(16, 19) & F.call_function("luhn_check", digits)
