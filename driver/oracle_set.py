@@ -4,7 +4,7 @@ None of these parses a line: they state which record every event's line stands
 for. Only the redaction of free text repeats patterns, in RE2 syntax.
 """
 
-from driver.query_set import URL_SUFFIXES
+from driver.query_set import EXACT_TOTALS, URL_SUFFIXES
 from logspark import fixed_values as V
 
 # The pieces of every event's line, and what they should come out as.
@@ -246,6 +246,10 @@ ORACLES = {
     "approx_bounds": "SELECT true AS holds",
     "top_2000_urls": mixed(tally("url").replace("rank <= 10", "rank <= 2000")),
     "traffic_totals": mixed(TOTALS),
+    "report_tallies": mixed(" UNION ALL ".join(
+        f"SELECT '{name}' AS tally, *, true AS exact FROM ({tally(name)})" for name in TALLIES)),
+    "report_scalars": mixed(f"SELECT *, unique_ips AS unique_ips_low, unique_ips AS unique_ips_high FROM ({TOTALS})"),
+    "approx_totals": mixed(f"SELECT {', '.join(EXACT_TOTALS)}, false AS percentiles_exact FROM ({TOTALS})"),
     "latency_percentiles": mixed(
         f"SELECT {PERCENTILE.format(f=0.5)} AS p50_ms, {PERCENTILE.format(f=0.95)} AS p95_ms"),
     "redact_secrets": f"SELECT doc_id, {replaced(SECRETS, chr(92) + '1' + chr(92) + '2***')} AS text FROM documents",

@@ -157,6 +157,16 @@ def format_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.format_profile(extract(meaningful_lines(lines)))
 
 
+def report_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the report, as a job makes it."""
+    return report(_rows(spark, sf_dir))[0]
+
+
+def report_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of the report."""
+    return report(_rows(spark, sf_dir))[1]
+
+
 def summary_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.top_keys(A.tally_counts(_rows(spark, sf_dir)))
 
@@ -171,8 +181,14 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.weighted_percentiles(values, {"p50_ms": 0.50, "p95_ms": 0.95})
 
 
+#: What the estimated report states exactly.
+EXACT_TOTALS = ("parsed", "skipped", "timed", "mean_ms", "rate_4xx", "rate_5xx", "probe_attempts", "probe_successes")
+
+
 def approx_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.approx_scalars(_rows(spark, sf_dir)).where("parsed > 0")
+    """The exact figures of the estimated report, and whether its percentiles are marked as estimates."""
+    one = S.approx_scalars(_rows(spark, sf_dir)).where("parsed > 0")
+    return one.select(*EXACT_TOTALS, "percentiles_exact")
 
 
 def approx_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,6 +296,8 @@ QUERIES: dict[str, Query] = {
     "broken_links": _tally("broken_link"),
     "format_profile": format_profile,
     "summary_tallies": summary_tallies,
+    "report_tallies": report_tallies,
+    "report_scalars": report_scalars,
     "traffic_totals": traffic_totals,
     "latency_percentiles": latency_percentiles,
     "approx_bounds": approx_bounds,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.operators.probes import probe_succeeded
-from logspark.operators.tallies import DURATION, REJECTED
+from logspark.operators.tallies import DURATION, REJECTED, is_rejected
 from logspark.plans.once import computed_once
 
 
@@ -113,7 +113,7 @@ def approx_scalars(df: DataFrame, rsd: float = 0.02, accuracy: int = 10000) -> D
     fractions = F.array(*[F.lit(f) for f in PERCENTILES.values()])
     one = df.agg(
         F.count("format").alias("parsed"),
-        F.count_if(F.col("format").isNull()).alias("skipped"),
+        F.count_if(is_rejected(df)).alias("skipped"),
         F.approx_count_distinct("ip", rsd).alias("unique_ips"),
         F.count("duration_ms").alias("timed"),
         F.avg("duration_ms").alias("mean_ms"),

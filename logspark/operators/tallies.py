@@ -31,7 +31,13 @@ MOST_TRACKED = 1_000_000
 DURATION, REJECTED = "duration_ms", "rejected"
 
 
-def _keys() -> dict[str, Column]:
+def is_rejected(df: DataFrame) -> Column:
+    """Rows that had text and fit no layout; blanks and comments, whose line is NULL, are neither."""
+    unread = F.col("format").isNull()
+    return unread & F.col("line").isNotNull() if "line" in df.columns else unread
+
+
+def _keys(df: DataFrame) -> dict[str, Column]:
     """The key a record counts under in each tally, NULL where it does not count."""
     probe, url = F.col("is_probe"), F.col("url")
     return {
@@ -46,16 +52,17 @@ def _keys() -> dict[str, Column]:
         # An empty URL is a broken link too.
         "broken_link": F.when(is_broken_link(), F.coalesce(url, F.lit(""))),
         DURATION: F.col("duration_ms").cast("string"),
-        REJECTED: F.when(F.col("format").isNull(), F.lit("")),
+        REJECTED: F.when(is_rejected(df), F.lit("")),
     }
 
 
 def tally_entries(df: DataFrame, tallies: tuple[str, ...] | None = None, pos: str = "pos") -> DataFrame:
     """``(tally, key, pos)``, one row per record and tally it counts in.
 
-    ``df`` has record and probe columns; rows without a format are rejected lines.
+    ``df`` has record and probe columns; rows without a format are rejected lines,
+    unless their ``line`` is NULL: blanks and comments count nowhere.
     """
-    keys = _keys()
+    keys = _keys(df)
     entries = F.array(*[
         F.struct(F.lit(name).alias("tally"), keys[name].alias("key"))
         for name in (tallies or tuple(keys))
