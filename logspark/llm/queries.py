@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import chat, html_text, langid, mixing, pii, pivots, quality, simhash, warc
+from logspark.llm import chat, html_text, langid, mixing, pii, pivots, quality, simhash, warc, whitening
 from logspark.llm.decontaminate import contaminated
 
 
@@ -125,6 +125,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding in the first 32 whitened components."""
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through all stages of the corpus pipeline."""
     import corpus_pipeline
@@ -134,7 +140,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_quality, op3_pii, op4_chat, op5_mixing, op6_simhash, op7_language,
-                            op8_decontamination, op9_search, op10_html, pipeline)}
+                            op8_decontamination, op9_search, op10_html, op11_whitening, pipeline)}
 
 _ESCAPED = """regexp_replace(regexp_replace(replace({0}, '\\', '\\e'), '<(\\||/?s>|</?SYS>>)', '\\\\l\\1', 'g'),
     '\\[(/?INST\\])', '\\\\o\\1', 'g')"""
