@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import chat, html_text, langid, mixing, pii, pivots, quality, simhash, warc, whitening
+from logspark.llm import chat, divergence, fingerprints, html_text, langid, mixing, pii, pivots, quality, simhash, warc, whitening
 from logspark.llm.decontaminate import contaminated
 
 
@@ -131,6 +131,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of every language differ, and in which terms."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through all stages of the corpus pipeline."""
     import corpus_pipeline
@@ -140,7 +150,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_quality, op3_pii, op4_chat, op5_mixing, op6_simhash, op7_language,
-                            op8_decontamination, op9_search, op10_html, op11_whitening, pipeline)}
+                            op8_decontamination, op9_search, op10_html, op11_whitening,
+                            op12_divergence, op13_fingerprints, pipeline)}
 
 _ESCAPED = """regexp_replace(regexp_replace(replace({0}, '\\', '\\e'), '<(\\||/?s>|</?SYS>>)', '\\\\l\\1', 'g'),
     '\\[(/?INST\\])', '\\\\o\\1', 'g')"""
@@ -193,4 +204,29 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        w AS (SELECT doc, lang, source, unnest(words) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+        v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+        t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+        p AS (SELECT lang, g.source, term, coalesce(n, 0) AS n, lang_n, lang_total,
+                     (1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * v))::BIGINT AS p,
+                     (1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * v))::BIGINT AS q
+              FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN t USING (lang, source)
+              LEFT JOIN c USING (lang, source, term)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL)
+        SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value,
+               (row_number() OVER (PARTITION BY g.lang, g.source ORDER BY coalesce(value, 0) DESC, h.source))::INT AS rank
+        FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+        LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = h.source
+        UNION ALL
+        SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT AS value,
+               (row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // (p + q) DESC, term))::INT AS rank
+        FROM p WHERE n > 0 AND p > q QUALIFY rank <= 10""",
 }
