@@ -18,6 +18,7 @@ that has it.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -33,21 +34,17 @@ from logspark.llm.shared import land
 MIN_DOCS, TOP_TERMS = 10, 10
 #: Postings that a task holds before it spills a run.
 POSTINGS = 300_000
-#: Postings of one block of a run, and runs that are merged at a time.
-BLOCK, FAN_IN = 512, 64
+#: Postings of one block of a run, postings merged at a time, and runs that are merged together.
+BLOCK, STEP, FAN_IN = 2048, 1 << 17, 64
 #: Bytes of a text that are cut into terms at a time.
 SLICE = 1 << 20
 #: Sources whose pair sums a task holds before it hands them on.
 HELD_SOURCES = 1024
 #: Letters in lower case, everything else below 0x80 a space: bytes of 0x80 and above belong to terms.
 _TERM_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_BLOCKS = ("shard int, lang binary, first binary, run long, terms array<binary>, sources array<binary>, "
+_BLOCKS = ("shard int, lang binary, run long, first binary, terms array<binary>, sources array<binary>, "
            "ns array<long>, dfs array<long>")
-_BLOCK_TYPE = pa.schema([("shard", pa.int32()), ("lang", pa.binary()), ("first", pa.binary()), ("run", pa.int64()),
-                         ("terms", pa.list_(pa.binary())), ("sources", pa.list_(pa.binary())),
-                         ("ns", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int64()))])
-_FREQUENCY_TYPE = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("sources", pa.list_(pa.binary())),
-                             ("ns", pa.list_(pa.int64()))])
+_LISTS = ["term", "source", "n", "df"]
 
 
 def pieces(text: bytes, size: int = SLICE) -> Iterator[list[bytes]]:
@@ -61,141 +58,155 @@ def pieces(text: bytes, size: int = SLICE) -> Iterator[list[bytes]]:
         start = end
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 256) -> Iterator[pa.RecordBatch]:
-    held = []
-
-    def batch():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield batch()
-            held = []
-    if held:
-        yield batch()
-
-
-def _cut(shard: int, lang: bytes, run: int, postings: list[tuple]) -> tuple:
-    terms, sources, ns, dfs = map(list, zip(*postings, strict=True))
-    return shard, lang, terms[0], run, terms, sources, ns, dfs
+def _edges(codes: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal codes begins."""
+    return np.append(0, np.flatnonzero(np.diff(codes)) + 1) if len(codes) else np.zeros(0, np.int64)
+
+
+def _listed(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+
+def _cut(postings: pa.Table, edges: np.ndarray, sections: list[tuple], run: int) -> pa.RecordBatch:
+    """Sorted postings as blocks; the sections (shard, lang) begin at ``edges``."""
+    columns = [postings[c].combine_chunks() for c in _LISTS]
+    stretches = [np.arange(a, b, BLOCK) for a, b in zip(edges, np.append(edges[1:], len(postings)), strict=True)]
+    starts = np.concatenate(stretches)
+    shards, langs = zip(*(x for x, part in zip(sections, stretches, strict=True) for _ in part), strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shards, pa.int32()), pa.array(langs, pa.binary()), pa.array(np.full(len(starts), run)),
+         columns[0].take(pa.array(starts)), *(_listed(starts, c) for c in columns)],
+        ["shard", "lang", "run", "first", "terms", "sources", "ns", "dfs"])
+
+
+def _run(occurs: dict, within: dict, shards: int, number: int) -> pa.RecordBatch:
+    """The block postings of a task, sorted by shard, language, term and source."""
+    names = sorted({lang for lang, _ in occurs})
+    terms, sources, sizes, langs, ns, dfs = [], [], [], [], [], []
+    for (lang, source), counts in occurs.items():
+        terms += counts
+        ns += counts.values()
+        dfs += map(within[lang, source].__getitem__, counts)
+        sources.append(source)
+        langs.append(names.index(lang))
+        sizes.append(len(counts))
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    langs = np.array(langs, np.int64)[of]
+    spread = np.fromiter(map(crc32, terms), np.int64, len(terms)) ^ np.array([crc32(x) for x in names], np.int64)[langs]
+    table = pa.table({
+        "section": spread % shards * len(names) + langs, "term": pa.array(terms, pa.binary()),
+        "source": pa.array(sources, pa.binary()).take(pa.array(of)), "n": pa.array(ns, pa.int64()), "df": pa.array(dfs, pa.int64())})
+    table = table.sort_by([(c, "ascending") for c in ("section", "term", "source")])
+    section = table["section"].to_numpy()
+    edges = _edges(section)
+    return _cut(table, edges, [(x // len(names), names[x % len(names)]) for x in section[edges].tolist()], number)
 
 
 def _index(most: int, shards: int):
     """Documents (lang, source, text) to runs of blocks."""
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        run, held, occurs, within = TaskContext.get().partitionId() << 24, 0, {}, {}
-
-        def spill():
-            entries = sorted((crc32(term, crc32(lang)) % shards, lang, term, source, n, within[lang, source][term])
-                             for (lang, source), terms in occurs.items() for term, n in terms.items())
-            start = 0
-            for i in range(1, len(entries) + 1):
-                if i == len(entries) or i - start == BLOCK or entries[i][:2] != entries[start][:2]:
-                    yield _cut(*entries[start][:2], run, [e[2:] for e in entries[start:i]])
-                    start = i
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, occurs, within = TaskContext.get().partitionId() << 24, 0, {}, {}
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                group, own = (lang, source), set()
-                counts = occurs.setdefault(group, Counter())
+                counts, own = occurs.setdefault((lang, source), Counter()), set()
                 before = len(counts)
                 for words in pieces(text):
                     counts.update(words)
                     own.update(words)
-                within.setdefault(group, Counter()).update(own)
+                within.setdefault((lang, source), Counter()).update(own)
                 held += len(counts) - before
                 if held >= most:
-                    yield from spill()
-                    run, held, occurs, within = run + 1, 0, {}, {}
-        yield from spill()
+                    yield _run(occurs, within, shards, number)
+                    number, held, occurs, within = number + 1, 0, {}, {}
+        if held:
+            yield _run(occurs, within, shards, number)
 
-    return lambda batches: _batches(blocks(batches), _BLOCK_TYPE)
+    return run
 
 
-def merge_blocks(blocks: Iterator[tuple]) -> Iterator[tuple]:
-    """(section, term, {source: [n, df]}) by term, from blocks (section, first, terms, sources, ns, dfs).
+def merge_blocks(blocks: Iterator[tuple], step: int = STEP) -> Iterator[tuple]:
+    """(section, postings) with equal postings summed, by term, from blocks (section, first term, postings).
 
-    Blocks come by section and first term. A term is complete as soon as a block
-    begins after it, so only blocks that hold the current term stay open.
+    Blocks come by section and first term and wait in a heap by their next term. When a
+    block is opened, all terms before its first one are complete; once ``step`` postings
+    wait, these are taken off the blocks, which return to the heap with their rest.
     """
-    heap, section, opened = [], None, 0
+    heap, waiting, section, opened = [], 0, None, 0
 
-    def next_term():
-        term, postings = heap[0][0], {}
-        while heap and heap[0][0] == term:
+    def complete(before: bytes | None) -> pa.Table:
+        parts = []
+        while heap and (before is None or heap[0][0] < before):
             _, order, at, block = heapq.heappop(heap)
-            terms, sources, ns, dfs = block
-            while at < len(terms) and terms[at] == term:
-                kept = postings.setdefault(sources[at], [0, 0])
-                kept[0] += ns[at]
-                kept[1] += dfs[at]
-                at += 1
-            if at < len(terms):
-                heapq.heappush(heap, (terms[at], order, at, block))
-        return section, term, postings
-
-    for of, first, *block in blocks:
-        while heap and (of != section or heap[0][0] < first):
-            yield next_term()
-        section, opened = of, opened + 1
+            terms = block["term"]
+            end = len(terms) if before is None else bisect_left(terms, before, at, key=lambda x: x.as_py())
+            parts.append(block.slice(at, end - at))
+            if end < len(terms):
+                heapq.heappush(heap, (terms[end].as_py(), order, end, block))
+        summed = pa.Table.from_batches(parts).group_by(["term", "source"], use_threads=False).aggregate(
+            [("n", "sum"), ("df", "sum")]).select(["term", "source", "n_sum", "df_sum"]).rename_columns(_LISTS)
+        return summed.sort_by([("term", "ascending"), ("source", "ascending")])
+
+    for of, first, block in blocks:
+        if heap and of != section:
+            yield section, complete(None)
+            waiting = 0
+        elif waiting >= step and heap[0][0] < first:
+            yield section, complete(first)
+            waiting = sum(len(b) - at for _, _, at, b in heap)
+        section, opened, waiting = of, opened + 1, waiting + len(block)
         heapq.heappush(heap, (first, opened, 0, block))
-    while heap:
-        yield next_term()
+    if heap:
+        yield section, complete(None)
 
 
-def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, lang, group, first, *lists = (c[i].as_py() for c in batch.columns)
-            yield (shard, lang, group), first, *lists
+            shard, lang, run, first = (batch.column(c)[i].as_py() for c in range(4))
+            yield (shard, lang, run), first, pa.RecordBatch.from_arrays([batch.column(c)[i].values for c in range(4, 8)], _LISTS)
 
 
-def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_runs(step: int):
     """Blocks to blocks of one run for every group of runs."""
-    def blocks():
-        held, of = [], None
-        for section, term, postings in merge_blocks(_sections(batches)):
-            for source in sorted(postings):
-                if held and (section != of or len(held) >= BLOCK):
-                    yield _cut(of[0], of[1], of[2], held)
-                    held = []
-                of = section
-                held.append((term, source, *postings[source]))
-        if held:
-            yield _cut(of[0], of[1], of[2], held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shard, lang, group), postings in merge_blocks(_opened(batches), step):
+            yield _cut(postings, np.zeros(1, np.int64), [(shard, lang)], group)
 
-    return _batches(blocks(), _BLOCK_TYPE)
+    return run
 
 
-def _merge_frequencies(min_docs: int):
+def _merge_frequencies(min_docs: int, step: int):
     """Blocks to (lang, term, sources, ns) of the terms in enough documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = ((section[1], term, sorted(postings), [postings[s][0] for s in sorted(postings)])
-                for section, term, postings in merge_blocks(_sections(batches))
-                if sum(df for _, df in postings.values()) >= min_docs)
-        return _batches(kept, _FREQUENCY_TYPE, 2048)
+        for (_, lang, _), postings in merge_blocks(_opened(batches), step):
+            term, source, n, df = (postings[c].combine_chunks() for c in _LISTS)
+            starts = _edges(term.dictionary_encode().indices.to_numpy())
+            kept = np.add.reduceat(df.to_numpy(), starts) >= min_docs
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(starts), pa.binary()), term.take(pa.array(starts)), _listed(starts, source),
+                 _listed(starts, n)], ["lang", "term", "sources", "ns"])
+            yield rows.filter(pa.array(kept))
 
     return run
 
 
-def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, postings: int = POSTINGS, fan_in: int = FAN_IN) -> DataFrame:
+def frequencies(docs: DataFrame, min_docs: int = MIN_DOCS, postings: int = POSTINGS, fan_in: int = FAN_IN,
+                step: int = STEP) -> DataFrame:
     """(lang, term, sources, ns) of every term in ``min_docs`` documents of a language, from (lang, source, text)."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = land(docs.select("lang", "source", "text").mapInArrow(_index(postings, shards), _BLOCKS), "divergence-runs")
     runs = blocks.select("run").distinct().count()
 
     def gathered(group: Column) -> DataFrame:
-        rows = blocks.select("shard", "lang", group.alias("group"), "first", "terms", "sources", "ns", "dfs")
-        return rows.repartition(shards, "shard", "group").sortWithinPartitions("shard", "lang", "group", "first")
+        rows = blocks.select("shard", "lang", group.cast("long").alias("run"), "first", "terms", "sources", "ns", "dfs")
+        return rows.repartition(shards, "shard", "run").sortWithinPartitions("shard", "lang", "run", "first")
 
     while runs > fan_in:
         runs = -(-runs // fan_in)
         groups = F.pmod(F.xxhash64("run"), F.lit(runs))
-        blocks = land(gathered(groups).mapInArrow(_merge_runs, _BLOCKS), "divergence-merged")
-    return gathered(F.lit(0).cast("long")).mapInArrow(
-        _merge_frequencies(min_docs), "lang binary, term binary, sources array<binary>, ns array<long>")
+        blocks = land(gathered(groups).mapInArrow(_merge_runs(step), _BLOCKS), "divergence-merged")
+    return gathered(F.lit(0)).mapInArrow(
+        _merge_frequencies(min_docs, step), "lang binary, term binary, sources array<binary>, ns array<long>")
 
 
 def _share(n: str, total: str, terms: str) -> Column:
@@ -210,7 +221,7 @@ def _distance(p: str, q: str) -> Column:
 
 def _both_have(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, a, b, s) for a < b: corrections over the terms (lang, postings) that both sources have."""
-    schema = pa.schema([("lang", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("s", pa.int64())])
+    kinds = {"lang": pa.binary(), "a": pa.binary(), "b": pa.binary(), "s": pa.int64()}
 
     def distance(p, q):
         return (p - q) ** 2 // (p + q)
@@ -219,40 +230,39 @@ def _both_have(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, p0, q, q0 = p[:, None], p0[:, None], q[None, :], q0[None, :]
         return distance(p, q) - distance(p, q0) - distance(p0, q) + distance(p0, q0)
 
-    def rows():
-        index: dict = {}
-        sums = np.zeros((HELD_SOURCES, HELD_SOURCES), np.int64)
+    index: dict = {}
+    sums = np.zeros((HELD_SOURCES, HELD_SOURCES), np.int64)
 
-        def flush():
-            names = list(index)
-            for i, j in zip(*(x.tolist() for x in np.nonzero(sums)), strict=True):
-                a, b = sorted((names[i], names[j]), key=lambda x: x[1])
-                yield a[0], a[1], b[1], int(sums[i, j])
+    def summed() -> pa.RecordBatch:
+        names, (i, j) = list(index), np.nonzero(sums)
+        columns = ([names[x][0] for x in i.tolist()], [names[x][1] for x in i.tolist()], [names[x][1] for x in j.tolist()], sums[i, j])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-        for batch in batches:
-            for lang, postings in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names = [x["source"] for x in postings]
-                p, p0 = (np.array([x[c] for x in postings], np.int64) for c in ("p", "p0"))
-                step = HELD_SOURCES // 2
-                tiles = [slice(i, i + step) for i in range(0, len(names), step)]
-                for k, one in enumerate(tiles):
-                    for other in tiles[k:]:
-                        keys = dict.fromkeys((lang, x) for x in [*names[one], *names[other]])
-                        if len(index) + sum(x not in index for x in keys) > HELD_SOURCES:
-                            yield from flush()
-                            index, sums[:] = {}, 0
-                        for x in keys:
-                            index.setdefault(x, len(index))
-                        rows_, columns = ([index[lang, x] for x in names[t]] for t in (one, other))
-                        found = correction(p[one], p0[one], p[other], p0[other])
-                        sums[np.ix_(rows_, columns)] += np.triu(found, 1) if one == other else found
-        yield from flush()
-
-    return _batches(rows(), schema, 8192)
+    for batch in batches:
+        flat = batch.column(1).flatten()
+        names, p, p0 = flat.field(0).to_pylist(), np.asarray(flat.field(1)), np.asarray(flat.field(2))
+        offsets = (np.asarray(batch.column(1).offsets) - batch.column(1).offsets[0].as_py()).tolist()
+        for lang, a, b in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
+            step = HELD_SOURCES // 2
+            tiles = [slice(i, min(b, i + step)) for i in range(a, b, step)]
+            for k, one in enumerate(tiles):
+                for other in tiles[k:]:
+                    keys = {(lang, x) for x in names[one]} | {(lang, x) for x in names[other]}
+                    if len(index) + len(keys - index.keys()) > HELD_SOURCES:
+                        yield summed()
+                        index.clear()
+                        sums[:] = 0
+                    for x in keys:
+                        index.setdefault(x, len(index))
+                    at, to = ([index[lang, x] for x in names[t]] for t in (one, other))
+                    found = correction(p[one], p0[one], p[other], p0[other])
+                    sums[np.ix_(at, to)] += np.triu(found, 1) if one == other else found
+    yield summed()
 
 
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
-          min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, postings: int = POSTINGS, fan_in: int = FAN_IN) -> DataFrame:
+          min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, postings: int = POSTINGS, fan_in: int = FAN_IN,
+          step: int = STEP) -> DataFrame:
     """(lang, source, part, item, value, rank): how each source differs from the others of its language.
 
     Part ``pair``: the divergence of every other source, largest first. Part ``term``:
@@ -265,7 +275,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    kept = land(frequencies(rows, min_docs, postings, fan_in), "divergence-terms")
+    kept = land(frequencies(rows, min_docs, postings, fan_in, step), "divergence-terms")
     in_lang = kept.select("lang", F.aggregate("ns", F.lit(0).cast("long"), lambda a, n: a + n).alias("n")).groupBy("lang").agg(
         F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
     flat = kept.select("lang", "term", F.aggregate("ns", F.lit(0).cast("long"), lambda a, n: a + n).alias("lang_n"),

@@ -1,8 +1,10 @@
 """The source audit against brute force on small tables."""
 
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,10 +53,10 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize(("postings", "fan_in"), [(divergence.POSTINGS, divergence.FAN_IN), (7, 2)])
-def test_the_audit_agrees_with_brute_force(spark, postings, fan_in):
+@pytest.mark.parametrize(("postings", "fan_in", "step"), [(divergence.POSTINGS, divergence.FAN_IN, divergence.STEP), (7, 2, 3)])
+def test_the_audit_agrees_with_brute_force(spark, postings, fan_in, step):
     docs = spark.createDataFrame(ROWS, DOCS).repartition(5).withColumn("term", F.lit("clash")).withColumn("n", F.lit(1))
-    found = divergence.audit(docs, min_docs=3, postings=postings, fan_in=fan_in).collect()
+    found = divergence.audit(docs, min_docs=3, postings=postings, fan_in=fan_in, step=step).collect()
     assert sorted(map(tuple, found)) == slow_audit(ROWS, 3)
 
 
@@ -62,14 +64,16 @@ def test_blocks_and_held_sums_may_be_small(spark, monkeypatch):
     monkeypatch.setattr(divergence, "BLOCK", 3)
     monkeypatch.setattr(divergence, "HELD_SOURCES", 4)
     docs = spark.createDataFrame(ROWS, DOCS).repartition(3)
-    found = divergence.audit(docs, min_docs=3, postings=50, fan_in=2).collect()
+    found = divergence.audit(docs, min_docs=3, postings=50, fan_in=2, step=5).collect()
     assert sorted(map(tuple, found)) == slow_audit(ROWS, 3)
 
 
 def test_an_empty_table_gives_none(spark):
     assert divergence.audit(spark.createDataFrame([], DOCS)).count() == 0
-    lone = spark.createDataFrame([(1, "a b", "en", "s", 1)], DOCS)
-    assert divergence.audit(lone).count() == 0 and divergence.audit(lone, min_docs=1).count() == 0
+    lone = spark.createDataFrame([(1, "a b", "en", "s", 1), (2, "", "en", "t", 1)], DOCS)
+    assert sorted(map(tuple, divergence.audit(lone).collect())) == [("en", "s", "pair", "t", 0, 1), ("en", "t", "pair", "s", 0, 1)]
+    wordless = spark.createDataFrame([(1, "", None, None, 1)], DOCS)
+    assert divergence.audit(wordless, min_docs=1).count() == 0
 
 
 def test_terms_are_cut_whole():
@@ -79,11 +83,18 @@ def test_terms_are_cut_whole():
         assert words == [b"ab\xc3\xa9c"] * 100 + [b"z" * 500, b"tail"]
 
 
-def test_runs_merge_by_term():
-    def block(first, terms):
-        return "s", first, terms, ["x"] * len(terms), [1] * len(terms), [1] * len(terms)
-
-    runs = [["a", "c", "c2"], ["d", "e"], ["b", "c", "z"], ["c"]]
-    blocks = sorted((block(r[0], r) for r in runs), key=lambda b: b[1])
-    assert [(t, p["x"][0]) for _, t, p in divergence.merge_blocks(iter(blocks))] == [
-        ("a", 1), ("b", 1), ("c", 3), ("c2", 1), ("d", 1), ("e", 1), ("z", 1)]
+@pytest.mark.parametrize("step", [1, 4, 1000])
+def test_runs_merge_by_term(step):
+    rng = random.Random(step)
+    blocks, want = [], Counter()
+    for _ in range(30):  # runs whose blocks follow each other
+        terms = sorted({bytes([rng.randrange(97, 123), rng.randrange(97, 123)]) for _ in range(40)})
+        sources = [b"xy"[i:i + 1] for i in (rng.randrange(2) for _ in terms)]
+        want.update(zip(terms, sources, strict=True))
+        for i in range(0, len(terms), 7):
+            part = pa.RecordBatch.from_pydict({"term": terms[i:i + 7], "source": sources[i:i + 7], "n": [1] * len(terms[i:i + 7]),
+                                               "df": [2] * len(terms[i:i + 7])})
+            blocks.append(((0, b"en", 0), terms[i], part))
+    blocks.sort(key=lambda b: b[1])
+    found = [tuple(r.values()) for _, t in divergence.merge_blocks(iter(blocks), step) for r in t.to_pylist()]
+    assert found == [(t, s, n, 2 * n) for (t, s), n in sorted(want.items())]
