@@ -19,6 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import logspark as ls  # noqa: E402
 from driver.derived_lines import mixed_lines  # noqa: E402
+from driver.file_queries import QUERIES as FILE_QUERIES  # noqa: E402
 from driver.query_set import QUERIES  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -52,7 +53,7 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["extract_mixed"](spark, SF_DIR).write.format("noop").mode("overwrite").save()
     seconds = {}
-    for name, query in QUERIES.items():
+    for name, query in {**QUERIES, **FILE_QUERIES}.items():
         start = time.time()
         query(spark, SF_DIR).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)

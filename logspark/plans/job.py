@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -18,9 +17,12 @@ from logspark.operators.layouts import DEFAULT_LAYOUTS, Layout
 from logspark.operators.probes import with_probe_columns
 from logspark.operators.scalars import approx_scalars, scalars
 from logspark.operators.tallies import approx_top_keys, tally_counts, top_keys
+from logspark.plans.once import landed_at, work_directory
+from logspark.plans.two_pass import two_pass_report
 from logspark.schema import DERIVED_COLUMNS, RECORD_COLUMNS
-from logspark.sources.sinks import delete, write_csv, write_rejected
+from logspark.sources.sinks import write_csv, write_rejected
 from logspark.sources.text_logs import read_lines, with_line_numbers
+from logspark.sources.versions import delete
 
 LANDED = ("file", "block_start", "pos", "line")
 
@@ -29,9 +31,11 @@ LANDED = ("file", "block_start", "pos", "line")
 class JobOptions:
     """What a run can be told.
 
-    ``exact=False`` takes sketches for the report. ``partitions`` spreads lines
+    ``exact=False`` takes sketches for the report; ``two_pass`` makes the exact one
+    from the landed records without shuffling all keys. ``partitions`` spreads lines
     of gzipped files. ``ordered`` sorts the CSV by file and line, so that its
-    parts in name order have the rows in the order they were read.
+    parts in name order have the rows in the order they were read. ``versioned``
+    outputs are found by :func:`logspark.sources.versions.current`.
     """
 
     redact: Redactor = keep
@@ -39,9 +43,12 @@ class JobOptions:
     reference_time: datetime | None = None
     layouts: Sequence[Layout] = field(default=DEFAULT_LAYOUTS)
     exact: bool = True
+    two_pass: bool = False
     top: int = 10
     gzip: bool = False
     ordered: bool = False
+    versioned: bool = False
+    by_content: bool = True
     partitions: int | None = None
 
     def __post_init__(self):
@@ -106,14 +113,6 @@ def report(
     return tallies, one.where(F.col("parsed") > 0)
 
 
-def work_directory(spark: SparkSession, fallback: str | None) -> str:
-    """The cluster's shared folder; ``fallback`` only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not base:
-        raise ValueError("set spark.checkpoint.dir or pass work_dir: a folder all executors can reach")
-    return f"{base.rstrip('/')}/logspark-{uuid.uuid4().hex}"
-
-
 def run_job(
     spark: SparkSession,
     inputs: str | list[str],
@@ -129,21 +128,24 @@ def run_job(
     columnar table; CSV, report and line numbers are computed from that table,
     which also survives the loss of executors.
     """
-    landed_at = work_directory(spark, work_dir)
+    work = work_directory(spark, work_dir)
     columns = [*LANDED, *RECORD_COLUMNS, *DERIVED_COLUMNS, "is_probe", "status_class"]
     try:
-        rows_at = f"{landed_at}/rows"
-        process(read_lines(spark, inputs, options.partitions), options).select(*columns).write.parquet(rows_at)
-        landed = spark.read.parquet(rows_at)
+        lines = read_lines(spark, inputs, options.partitions, options.by_content)
+        landed = landed_at(process(lines, options).select(*columns), "rows", work)
         records = landed.where(F.col("format").isNotNull())
         unread = landed.where(F.col("format").isNull() & F.col("line").isNotNull())
         rejected = with_line_numbers(unread, landed).select("file", "lineno", "line")
         if rejected_output:
-            write_rejected(rejected, rejected_output)
+            rejected = landed_at(rejected, "rejected", work)
+            write_rejected(rejected, rejected_output, options.versioned)
         if output:
-            write_csv(records.orderBy("file", "pos") if options.ordered else records, output, options.gzip)
-        tallies, one = report(landed, options, f"{landed_at}/counts")
+            write_csv(records.orderBy("file", "pos") if options.ordered else records, output, options.gzip, options.versioned)
+        if options.exact and options.two_pass:
+            tallies, one = two_pass_report(landed, options.top, work)
+        else:
+            tallies, one = report(landed, options, f"{work}/counts")
     except BaseException:
-        delete(spark, landed_at)
+        delete(spark, work)
         raise
-    return JobResult(spark, landed_at, landed, records, rejected, tallies, one)
+    return JobResult(spark, work, landed, records, rejected, tallies, one)

@@ -1,6 +1,8 @@
-"""Keep filters from re-evaluating the projections below them."""
+"""Keep filters from re-evaluating the projections below them, and plans from running twice."""
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,3 +20,18 @@ def computed_once(df: DataFrame) -> DataFrame:
         .where("_partition >= 0")
         .select(*df.columns)
     )
+
+
+def work_directory(spark: SparkSession, fallback: str | None = None) -> str:
+    """A new path in the cluster's shared folder; ``fallback`` only where none is configured."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if not base:
+        raise ValueError("set spark.checkpoint.dir or pass work_dir: a folder all executors can reach")
+    return f"{base.rstrip('/')}/logspark-{uuid.uuid4().hex}"
+
+
+def landed_at(df: DataFrame, name: str, work: str | None = None) -> DataFrame:
+    """``df`` as a written table, which is read as often as needed and survives lost executors."""
+    path = f"{work.rstrip('/')}/{name}-{uuid.uuid4().hex}" if work else f"{work_directory(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
