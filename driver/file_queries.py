@@ -91,9 +91,9 @@ def csv_line_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ls.extract(ls.meaningful_lines(D.lines_of(spark, sf_dir, line)))
     at = f"{work(spark)}/csv"
     sinks.write_csv(ls.parsed(rows), at)
-    # Values hold line ends, so a file is read whole: the reader splits a file of such values nowhere.
+    # Values hold line ends, so files are not split; told CR LF, the reader would change those in values to LF.
     return spark.read.schema(", ".join(f"`{h}` string" for h in CSV_HEADERS)).options(
-        header=True, escape='"', multiLine=True).csv(at).select(F.col("URL").alias("url"), F.col("Status").alias("status"))
+        header=True, escape='"', multiLine=True, lineSep="\n").csv(at).select(F.col("URL").alias("url"), F.col("Status").alias("status"))
 
 
 def versioned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
