@@ -1,12 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as blocks of text, each with its path of tags from the root. Over
-all blocks of one path the characters and punctuation marks per block are summed,
-both ratios are smoothed along the order in which the paths occur, and fused by
-their product. Paths above a share of the standard deviation are content; the
-container that dominates their score is the article, and its blocks are kept but
-for those on paths made of links and for what markup declares to be something else:
-menus, headers, footers, sidebars, notices, adverts, forms, comments.
+A page is read as blocks of text, each on a path of tags from the root. Over all blocks
+of one path the characters and punctuation marks per block are summed, both ratios are
+smoothed along the order in which the paths occur, and fused by their product. Paths
+above a share of the standard deviation are content, and so are their blocks. The
+article is the innermost element that holds most of the content: what it keeps is its
+content blocks, all that lies between them, and its headings, paragraphs, list items
+and cells. What markup declares to be something else (menus, headers, footers, sidebars,
+notices, adverts, forms, comments) and paths made of links are left out; an element that
+markup declares to be the article is kept whole otherwise.
+
+Elements are numbered nodes that know their parent, blocks know their node, and sums go
+up node by node, so the time for a page grows with its length however deep it is nested.
 """
 
 from __future__ import annotations
@@ -25,16 +30,16 @@ from pyspark.sql import types as T
 
 #: Share of the standard deviation of the fused ratio above which a path is content.
 CUT = 0.5
-#: Paths to either side over which ratios are smoothed, and the weights of the smoothing.
-KERNEL = np.array([0.25, 0.5, 0.25])
-#: A container keeps the lead while it holds this share of its parent's score.
+#: Weights of a path and of its neighbours to either side when ratios are smoothed.
+KERNEL = np.array([0.1, 0.8, 0.1])
+#: An element holds most of the content from this share of its characters.
 LEAD = 0.7
 #: Share of link text from which a path is a list of links.
 LINKS = 0.6
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _STYLE_NONE = re.compile(r"display\s*:\s*none", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
@@ -62,20 +67,42 @@ DECLARED = frozenset(
 ARTICLES = frozenset("article main".split())
 
 
+ENDS = {tag: frozenset(t for t, enders in ENDED_BY.items() if tag in enders) for enders in ENDED_BY.values() for tag in enders}
+CELLS = frozenset("td th".split())
+
+
 @dataclass
 class Block:
-    """A run of text between block tags."""
+    """A run of text between block tags, in element ``node`` on path ``path``."""
 
-    path: tuple[str, ...]
-    keys: tuple[int, ...]  # the numbers of the elements on the path
+    node: int
+    path: int
+    declared: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _declared(tag: str, attributes: str, inside: tuple[str, ...]) -> bool:
+@dataclass
+class Page:
+    """Block elements in the order they begin (0 is the page), their paths, and the blocks."""
+
+    tags: list[str] = field(default_factory=lambda: [""])
+    parents: list[int] = field(default_factory=lambda: [-1])
+    paths: list[int] = field(default_factory=lambda: [0])
+    numbers: dict[tuple[int, str], int] = field(default_factory=dict)
+    blocks: list[Block] = field(default_factory=list)
+
+    def open(self, parent: int, tag: str) -> int:
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.paths.append(self.numbers.setdefault((self.paths[parent], tag), len(self.numbers) + 1))
+        return len(self.tags) - 1
+
+
+def _declared(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether markup says that an element is not the article."""
-    if tag in NOT_CONTENT or tag == "header" and not ARTICLES.intersection(inside):
+    if tag in NOT_CONTENT or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body"):
         return False
@@ -87,37 +114,54 @@ def _declared(tag: str, attributes: str, inside: tuple[str, ...]) -> bool:
     return bool(_STYLE_NONE.search(attributes))
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, without what markup declares to be something else."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number of the element, whether it is left out
-    count, left_out, links, block = 0, 0, 0, None
-    at = 0
+class _Stack:
+    """The open elements, and where the last of each kind is, so that none is searched for."""
+
+    def __init__(self):
+        self.open: list[tuple[str, int, bool]] = []  # tag, node, whether it is declared to be something else
+        self.at: dict[str, list[int]] = {}
+        self.left_out = 0
+
+    def last(self, tags) -> int:
+        return max((at[-1] for t in tags if (at := self.at.get(t))), default=-1)
+
+    @property
+    def node(self) -> int:
+        return self.open[-1][1] if self.open else 0
+
+    def push(self, tag: str, node: int, declared: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, node, declared))
+        self.left_out += declared
+
+    def close(self, n: int) -> None:
+        """Takes elements off until ``n`` are left."""
+        while len(self.open) > n:
+            tag, _, declared = self.open.pop()
+            self.at[tag].pop()
+            self.left_out -= declared
+
+
+def read_page(html_text: str) -> Page:
+    """The elements and blocks of a page, in order."""
+    page, stack, block, at = Page(), _Stack(), None, 0
 
     def text(part: str) -> None:
         nonlocal block
-        if left_out or not part:
+        if not part or block is None and part.isspace():
             return
-        if block is None:
-            if part.isspace():
-                return
-            own = [(t, k) for t, k, _ in stack if t in BLOCKS]
-            block = Block(tuple(t for t, _ in own), tuple(k for _, k in own))
-            out.append(block)
+        out = stack.left_out > 0
+        if block is not None and out and not block.declared:
+            return  # an inline element inside a block
+        if block is None or block.declared != out:
+            block = Block(stack.node, page.paths[stack.node], out)
+            page.blocks.append(block)
         block.parts.append(part)
-        if links:
+        if stack.at.get("a"):
             block.linked += len(part.strip())
 
-    def close(n: int) -> None:
-        """Takes elements off until ``n`` are left."""
-        nonlocal left_out, links
-        while len(stack) > n:
-            tag, _, out_of_it = stack.pop()
-            left_out -= out_of_it
-            links -= tag == "a"
-
-    for m in _TOKEN.finditer(page):
-        text(page[at:m.start()])
+    for m in _TOKEN.finditer(html_text):
+        text(html_text[at:m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
@@ -126,82 +170,106 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             block = None
-        elif tag in ("br", "img", "wbr"):
-            text(" " if tag == "br" and block else "")
+        elif tag == "br" and block:
+            text(" ")
         if m[2]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if found is not None and (tag in BLOCKS or not any(t in BLOCKS for t, _, _ in stack[found:])):
-                close(found)
+            found = stack.last((tag,))
+            if found >= 0 and (tag in BLOCKS or stack.last(BLOCKS) < found):
+                stack.close(found)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        for i in range(len(stack) - 1, -1, -1):
-            if tag in ENDED_BY.get(stack[i][0], ()):
-                close(i)
-                break
-            if stack[i][0] in SCOPES and not (stack[i][0] in ("td", "th") and tag in ("td", "th", "tr")):
-                break
+        if tag in CLOSES_P and (p := stack.last(("p",))) > stack.last(SCOPES):
+            stack.close(p)
+        if tag in ENDS:
+            scopes = SCOPES - CELLS if tag in ("td", "th", "tr") else SCOPES
+            if (ended := stack.last(ENDS[tag])) >= max(0, stack.last(scopes)):
+                stack.close(ended)
         if tag in VOID or m[4].rstrip().endswith("/"):
             continue
-        count += 1
-        out_of_it = _declared(tag, m[4], tuple(t for t, _, _ in stack))
-        stack.append((tag, count, out_of_it))
-        left_out += out_of_it
-        links += tag == "a"
-    text(page[at:])
-    for b in out:
+        node = page.open(stack.node, tag) if tag in BLOCKS else stack.node
+        stack.push(tag, node, _declared(tag, m[4], any(stack.at.get(t) for t in ARTICLES)))
+    text(html_text[at:])
+    for b in page.blocks:
         joined = "".join(b.parts)
         b.text = " ".join((html.unescape(joined) if "&" in joined else joined).split())
-    return [b for b in out if b.text]
+    page.blocks = [b for b in page.blocks if b.text]
+    return page
 
 
-def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
-    """The fused, smoothed tag-path ratio of every path, cut off below the threshold."""
-    chars: dict[tuple, list[float]] = {}
+def path_ratios(blocks: list[Block]) -> dict[int, float]:
+    """The smoothed and fused ratio of every path, in the order in which paths occur."""
+    sums: dict[int, list[float]] = {}
     for b in blocks:
-        row = chars.setdefault(b.path, [0.0, 0.0, 0.0])
+        row = sums.setdefault(b.path, [0.0, 0.0, 0.0])
         row[0] += 1
         row[1] += len(b.text)
         row[2] += len(_PUNCTUATION.findall(b.text))
-    table = np.array(list(chars.values()))
+    table = np.array(list(sums.values()))
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), KERNEL, mode="valid")
     fused = smooth(table[:, 1] / table[:, 0]) * smooth(table[:, 2] / table[:, 0] + 0.1)
-    content = fused >= CUT * fused.std()
-    # Where no path stands out, what has the most text does.
-    weight = np.where(content, table[:, 1] * (1 + table[:, 2] / table[:, 0]), 0.0)
-    return dict(zip(chars, weight.tolist(), strict=True))
+    return dict(zip(sums, fused.tolist(), strict=True))
+
 
+def content_paths(ratios: dict[int, float]) -> set[int]:
+    """Paths above the threshold; where all are alike, all."""
+    cut = CUT * float(np.std(list(ratios.values())))
+    return {p for p, r in ratios.items() if r >= cut}
 
-def main_text(page: str | None) -> str:
+
+def link_paths(page: Page) -> set[int]:
+    """Paths whose text is mostly links, headings apart."""
+    linked, length = defaultdict(int), defaultdict(int)
+    for b in page.blocks:
+        linked[b.path] += min(b.linked, len(b.text))
+        length[b.path] += len(b.text)
+    inside = [False] * len(page.tags)  # a heading
+    headed = {}
+    for k in range(1, len(page.tags)):
+        inside[k] = inside[page.parents[k]] or page.tags[k] in HEADINGS
+        headed[page.paths[k]] = inside[k]
+    return {p for p in length if linked[p] > LINKS * length[p] and not headed.get(p)}
+
+
+def _container(page: Page, weights: dict[int, float]) -> int:
+    """The innermost element that holds most of the page's weight."""
+    sums = [0.0] * len(page.tags)
+    for node, weight in weights.items():
+        sums[node] += weight
+    heaviest = [0] * len(page.tags)
+    for k in range(len(page.tags) - 1, 0, -1):  # children begin after their parents
+        parent = page.parents[k]
+        sums[parent] += sums[k]
+        if page.tags[k] not in LEAVES and (not heaviest[parent] or sums[k] >= sums[heaviest[parent]]):
+            heaviest[parent] = k
+    node = 0
+    while heaviest[node] and sums[0] > 0 and sums[heaviest[node]] >= LEAD * sums[0]:
+        node = heaviest[node]
+    return node
+
+
+def main_text(html_text: str | None) -> str:
     """The article of a page: its blocks, white space within them made one space, joined by line feeds."""
-    blocks = blocks_of(page or "")
-    if not blocks:
+    page = read_page(html_text or "")
+    if not page.blocks:
         return ""
-    score, linked, length = path_scores(blocks), defaultdict(int), defaultdict(int)
-    for b in blocks:
-        t = len(b.text)
-        linked[b.path] += min(b.linked, t)
-        length[b.path] += t
-    listed = {p for p in score if linked[p] > LINKS * length[p] and not HEADINGS.intersection(p)}
-    blocks = [b for b in blocks if b.path not in listed] or blocks
-    own = {id(b): score[b.path] * len(b.text) / length[b.path] for b in blocks}
-    held, depth = blocks, 0
-    while True:  # descend while one container holds most of the score
-        by: dict[int, float] = defaultdict(float)
-        for b in held:
-            if depth < len(b.keys) and b.path[depth] not in LEAVES:
-                by[b.keys[depth]] += own[id(b)]
-        total = sum(own[id(b)] for b in held)
-        best = max(by, key=lambda k: (by[k], -k), default=None)
-        if best is None or by[best] < LEAD * total:
-            break
-        held = [b for b in held if depth < len(b.keys) and b.keys[depth] == best]
-        depth += 1
+    content, links = content_paths(path_ratios(page.blocks)), link_paths(page)
+    plain = [b for b in page.blocks if not b.declared]
+    kept = [b for b in plain if b.path not in links] or plain
+    chosen = {id(b) for b in kept if b.path in content} or {id(b) for b in kept}  # what is left where all content is declared
+    weights: dict[int, float] = defaultdict(float)
+    for b in kept:
+        if id(b) in chosen:
+            weights[b.node] += len(b.text)
+    top = _container(page, weights)
+    inside, leaf, article = ([False] * len(page.tags) for _ in range(3))
+    for k, tag in enumerate(page.tags):
+        parent = page.parents[k]
+        inside[k] = k == top or k > 0 and inside[parent]
+        leaf[k] = k > 0 and (leaf[parent] or tag in LEAVES)
+        article[k] = tag in ARTICLES or k > 0 and article[parent]
+    held = [b for b in kept if inside[b.node]]
+    places = [i for i, b in enumerate(held) if id(b) in chosen]
+    if not article[top]:  # no element says it is the article: around the content stay only text elements
+        held = [b for i, b in enumerate(held) if places[0] <= i <= places[-1] or leaf[b.node] or article[b.node]]
     return "\n".join(b.text for b in held)
 
 
