@@ -8,8 +8,10 @@ shingle hashes up to the largest one in the partition's item sketches, so it is
 long as the document demands, and no item is lost in a long text. Where sketches
 share a hash, the shingles themselves are compared exactly.
 
-Items are the queries: they are sent to the tasks in blocks of ``block_items``,
-whatever their number, and documents are never shuffled.
+Items are the queries: they are sent to the tasks in blocks, one after the other, each
+of ``block_items`` at most and of about ``block_chars`` characters, and documents are
+never shuffled. What a block finds is landed before the next one is sent, so the driver
+holds one block, whatever their number.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logspark.llm.shared import fresh
+from logspark.llm.shared import fresh, land
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
-#: Items sent to the tasks at a time; their size is bounded by that of the texts of so many items.
-BLOCK_ITEMS = 20_000
+#: Items, and characters of their texts, sent to the tasks at a time.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 1 << 26
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -59,51 +61,63 @@ def shingled(text: str | None, words: int = SHINGLE_WORDS) -> Shingled:
 
 
 @dataclass
-class Sketches:
-    """Item sketches by hash, and the distinct shingles of every item."""
+class Partition:
+    """Sketches of the items of one size partition, by hash."""
 
     hashes: np.ndarray  # sorted, distinct
     first: np.ndarray  # items[first[i]:first[i + 1]] have hashes[i]
     items: np.ndarray
+
+
+@dataclass
+class Sketches:
+    """Item sketches by size partition, and the distinct shingles of every item."""
+
+    partitions: list[Partition]
     ids: list
     shingles: list[frozenset]
 
 
 def sketch_items(rows: list[tuple], words: int, containment: float) -> Sketches:
     """Sketches of (item_id, text) rows, each of the length that its size partition needs."""
-    ids, shingles, hashes, items = [], [], [], []
+    ids, shingles, found = [], [], {}
     for item_id, text in rows:
         own = frozenset(shingled(text, words))
         if not own:
             continue
-        partition = 1 << (len(own) - 1).bit_length()  # the largest size of its partition
-        length = int((1 - containment) * partition + 1e-9) + 1
-        found = sorted(xxhash.xxh64_intdigest(s, SEED) for s in own)[:length]
-        hashes += found
-        items += [len(ids)] * len(found)
+        largest = 1 << (len(own) - 1).bit_length()  # size of its partition
+        length = int((1 - containment) * largest + 1e-9) + 1
+        sketch = sorted(xxhash.xxh64_intdigest(s, SEED) for s in own)[:length]
+        found.setdefault(largest, []).extend((h, len(ids)) for h in sketch)
         ids.append(item_id)
         shingles.append(own)
-    h, i = np.array(hashes, np.uint64), np.array(items, np.int64)
-    order = np.argsort(h, kind="stable")
-    distinct, first = np.unique(h[order], return_index=True)
-    return Sketches(distinct, np.append(first, len(h)), i[order], ids, shingles)
+    partitions = []
+    for _, pairs in sorted(found.items()):
+        pairs.sort()
+        h, i = (np.array(x, kind) for x, kind in zip(zip(*pairs, strict=True), (np.uint64, np.int64), strict=True))
+        distinct, first = np.unique(h, return_index=True)
+        partitions.append(Partition(distinct, np.append(first, len(h)), i))
+    return Sketches(partitions, ids, shingles)
+
+
+def candidates_in(hashes: np.ndarray, sketches: Sketches) -> list[int]:
+    """Items that share a hash with the text, whose sketch for a partition ends at that partition's largest hash."""
+    found: set[int] = set()
+    for p in sketches.partitions:
+        own = hashes[hashes <= p.hashes[-1]]
+        at = np.searchsorted(p.hashes, own)
+        for a in np.unique(at[p.hashes[at] == own]).tolist():
+            found.update(p.items[p.first[a]:p.first[a + 1]].tolist())
+    return sorted(found)
 
 
 def matches_in(text: str | None, sketches: Sketches, words: int, containment: float) -> list[tuple]:
     """(item, shared shingles, its shingles) of every item that ``text`` contains."""
-    if not len(sketches.hashes):
-        return []
     own = shingled(text, words)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in own), np.uint64, len(own.starts))
-    hashes = hashes[hashes <= sketches.hashes[-1]]
-    at = np.searchsorted(sketches.hashes, hashes)
-    at = np.unique(at[sketches.hashes[at] == hashes])
-    if not len(at):
-        return []
-    candidates = np.unique(np.concatenate([sketches.items[sketches.first[a]:sketches.first[a + 1]] for a in at]))
-    text_shingles, out = frozenset(own), []
-    for c in candidates.tolist():
+    candidates = candidates_in(np.fromiter((digest(s, SEED) for s in own), np.uint64, len(own.starts)), sketches)
+    text_shingles, out = frozenset(own) if candidates else (), []
+    for c in candidates:
         item = sketches.shingles[c]
         shared = len(item & text_shingles)
         if shared >= containment * len(item) - 1e-9:
@@ -113,7 +127,7 @@ def matches_in(text: str | None, sketches: Sketches, words: int, containment: fl
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", words: int = SHINGLE_WORDS,
-                 containment: float = CONTAINMENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+                 containment: float = CONTAINMENT, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles) of documents that hold an item's shingles.
 
     A text of fewer than ``words`` words is one shingle. Null and empty items and
@@ -121,9 +135,10 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     id and text) one; an item without an id is reported with a null id.
     """
     spark = docs.sparkSession
-    wanted = items.select(F.col(item_id).cast("long").alias("item_id"),
-                          F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    blocks = max(1, -(-wanted.count() // block_items))
+    wanted = land(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(
+        "text IS NOT NULL").distinct(), "benchmark-items")
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // block_items), -(-size.chars // block_chars))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "item_id", "shared", "item_shingles")])
     out = None
@@ -138,7 +153,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
                 columns = list(zip(*found, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema.names)
 
-        found = rows.mapInArrow(run, schema)
+        found = land(rows.mapInArrow(run, schema), "contaminated")
+        sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
