@@ -2,8 +2,9 @@
 
 Generators propose spans of four kinds, overlapping where their patterns do. The
 base generators are fixed rules: what passes their check is always a finding. The
-others recall more (numbers inside a longer run of digits, spelt-out addresses,
-phone numbers without a country code) and are decided by gradient boosted trees
+others recall more (numbers inside a longer run of digits, addresses spelt out in the
+lengths that mail and host names may have, phone numbers without a country code) and
+are decided by gradient boosted trees
 over format and context features. The trees are trained on all candidates of the
 corpus, counted by distinct feature vector, so the training table is bounded by the
 features and not by the data; a validator labels them (check digit, value range,
@@ -33,6 +34,8 @@ PRECISION = 0.98
 TREES, DEPTH = 8, 3
 #: Characters of context before a candidate.
 CONTEXT = 24
+#: Matches of a text whose positions are summed together.
+CHUNK = 64
 #: Documents held out for the thresholds: those whose text hashes to 0 modulo this.
 HOLD_OUT = 5
 
@@ -138,9 +141,25 @@ def _features(g: Generator, match: Column, before: Column, after: Column) -> Col
 KIND_TYPE = "struct<at:int,end:int,valid:boolean,f:array<double>>"
 
 
+def _chunks(zipped: Column) -> Column:
+    """Numbers of the stretches of ``CHUNK`` matches, one at least."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(F.size(zipped) / CHUNK).cast("int") - 1, F.lit(0)))
+
+
 def _candidates(zipped: Column, g: Generator, scored: bool) -> Column:
-    """array<struct<at, end, valid, f>> of a generator; ``f`` is null unless ``scored``."""
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{KIND_TYPE}>").alias("out"))
+    """array<struct<at, end, valid, f>> of a generator; ``f`` is null unless ``scored``.
+
+    Positions are sums of lengths: first where each stretch of matches starts, then
+    within a stretch, so that a step copies one stretch and not all that was found before.
+    """
+    stretch = lambda c: F.slice(zipped, c * CHUNK + 1, F.lit(CHUNK))
+    lengths = F.transform(_chunks(zipped), lambda c: F.aggregate(
+        stretch(c), F.lit(0), lambda acc, x: acc + F.length(x["p"]) + F.length(x["m"])))
+    none = F.array().cast("array<struct<c:int,at:int>>")
+    place = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+    starts = F.aggregate(lengths, place, lambda acc, n: F.struct(
+        (acc["pos"] + n).alias("pos"),
+        F.concat(acc["out"], F.array(F.struct(F.size(acc["out"]).alias("c"), acc["pos"].alias("at")))).alias("out")))["out"]
 
     def step(acc, x):
         at = acc["pos"] + F.length(x["p"])
@@ -149,7 +168,33 @@ def _candidates(zipped: Column, g: Generator, scored: bool) -> Column:
         new = F.struct(at.alias("at"), end.alias("end"), is_valid(g.kind, x["m"]).alias("valid"), f.alias("f"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(new.cast(KIND_TYPE))).alias("out"))
 
-    return F.aggregate(zipped, start, step)["out"]
+    def found(s):
+        start = F.struct(s["at"].alias("pos"), F.array().cast(f"array<{KIND_TYPE}>").alias("out"))
+        return F.aggregate(stretch(s["c"]), start, step)["out"]
+
+    return F.flatten(F.transform(starts, found))
+
+
+def _inside(x: Column, spans: Column) -> Column:
+    """Whether a span lies in one of ``spans``, which are in order and do not overlap; by binary search."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + F.lit(1.0))).cast("int"))
+
+    def halve(acc, _):
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        before = F.get(spans, middle)["at"] <= x["at"]
+        low = F.when((acc["low"] < acc["high"]) & before, middle + 1).otherwise(acc["low"])
+        high = F.when((acc["low"] < acc["high"]) & ~before, middle).otherwise(acc["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    begun = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve)["low"]
+    return F.coalesce(F.get(spans, begun - 1)["end"] >= x["end"], F.lit(False))
+
+
+def _in_order(spans: Column) -> Column:
+    """Distinct spans by start and end; as numbers, which are told apart by hash."""
+    numbers = F.transform(spans, lambda x: F.shiftleft(x["at"].cast("long"), 32) + x["end"])
+    return F.transform(F.array_sort(F.array_distinct(numbers)), lambda n: F.struct(
+        F.shiftright(n, 32).cast("int").alias("at"), n.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end")))
 
 
 @dataclass(frozen=True)
@@ -247,10 +292,8 @@ def find_spans(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFra
     every = {}
     for kind in KINDS:
         sure = F.col(f"sure_{kind}")
-        outside = F.filter(f"more_{kind}", lambda x: ~F.exists(
-            sure, lambda s: (s["at"] <= x["at"]) & (x["end"] <= s["end"])))  # noqa: B023
-        every[kind] = F.when(F.size(f"more_{kind}") > 0, F.array_sort(F.array_union(F.col(f"sure_{kind}"), outside))
-                             ).otherwise(F.col(f"sure_{kind}"))
+        outside = F.filter(f"more_{kind}", lambda x: ~_inside(x, sure))  # noqa: B023
+        every[kind] = F.when(F.size(f"more_{kind}") > 0, _in_order(F.concat(sure, outside))).otherwise(sure)
     return rows.select(*keep, *[f"sure_{k}" for k in KINDS], *[c.alias(f"all_{k}") for k, c in every.items()])
 
 
