@@ -10,6 +10,11 @@ goes to the partition, and in it to the place, that a second hash gives.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +27,18 @@ SEED = 42
 DEVIATIONS = 12
 
 
-def _poisson_table(mean):
+def poisson_table(mean: float) -> np.ndarray:
     """P(X <= 0), P(X <= 1), ... of the Poisson distribution, summed in log space."""
-    last = F.ceil(mean + DEVIATIONS * F.sqrt(mean) + 40).cast("int")
-    start = F.struct((-mean).alias("log_p"), F.exp(-mean).alias("cdf"), F.array(F.exp(-mean)).alias("table"))
+    if not mean > 0:
+        return np.ones(1)
+    k = np.arange(1, math.ceil(mean + DEVIATIONS * math.sqrt(mean) + 40) + 1)
+    return np.cumsum(np.exp(np.cumsum(np.append(-mean, math.log(mean) - np.log(k)))))
 
-    def step(acc, k):
-        log_p = acc["log_p"] + F.ln(mean) - F.ln(k.cast("double"))
-        cdf = acc["cdf"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), cdf.alias("cdf"), F.concat(acc["table"], F.array(cdf)).alias("table"))
 
-    return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["table"]).otherwise(F.array(F.lit(1.0)))
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tables = [poisson_table(r) for r in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tables, pa.list_(pa.float64()))], ["source", "rate", "table"])
 
 
 def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None,
@@ -63,13 +69,15 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", wei
         copy_col: str = "copy", key_col: str = "shuffle_key") -> DataFrame:
     """The mix: all columns of ``docs``, the copy's number from 1, and its place in the shuffle.
 
-    Rows with equal ids, null ones too, occur equally often. Texts are not looked at,
+    The two are added as ``copy_col`` and ``key_col``, with as many underscores before
+    them as it takes where ``docs`` has such columns. Rows with equal ids, null ones too, occur equally often. Texts are not looked at,
     so null, empty and long ones are kept as they are. An empty table stays empty.
     """
-    src, rate, table, n, draw = fresh(docs, "mix_source", "mix_rate", "mix_table", "mix_n", "mix_draw")
-    rates = land(source_rates(docs, source_col, weights, temperature, size), "mix-rates")
-    rates = land(rates.select(F.col("source").alias(src), F.col("rate").alias(rate),
-                              _poisson_table(F.col("rate")).alias(table)), "mix-tables")
+    copy_col, key_col, src, rate, table, n, draw = fresh(
+        docs, copy_col, key_col, "mix_source", "mix_rate", "mix_table", "mix_n", "mix_draw")
+    rates = source_rates(docs, source_col, weights, temperature, size).select("source", "rate")
+    rates = land(rates.mapInArrow(_tables, "source string, rate double, table array<double>"), "mix-tables")
+    rates = rates.toDF(src, rate, table)
     drawn = docs.withColumn(draw, unit_hash(F.col(id_col), seed=seed))
     joined = drawn.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col(src)))
     counted = joined.withColumn(n, F.size(F.filter(table, lambda c: c <= F.col(draw)))).where(F.col(n) > 0)
