@@ -30,7 +30,7 @@ CALIBRATE = 5
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 SEED = 42
-#: Characters looked at together; a long text is cut into pieces of this length that overlap.
+#: Characters looked at together.
 PIECE = 1 << 20
 UNKNOWN = "und"
 #: What marks the gap between words in an n-gram, and the factors that mix its characters.
@@ -47,23 +47,28 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(text: str | None) -> np.ndarray:
-    """How often each hashed n-gram occurs in a text; all zero where it has no letter."""
+    """How often each hashed n-gram occurs in a text; all zero where it has no letter.
+
+    A text is looked at piece by piece, with its last two characters in hand, so the
+    counts are those of the whole.
+    """
     counts = np.zeros(1 << BITS, np.int64)
-    text = text or ""
-    for at in range(0, len(text), PIECE):
-        codes = np.frombuffer(text[max(0, at - 3):at + PIECE].lower().encode("utf-32-le", "replace"), np.uint32)
-        codes = np.where(_letters()[codes], codes, _GAP)
-        codes = np.concatenate(([_GAP], codes, [_GAP])).astype(np.uint64)
+    text, shift = (text or "").lower(), np.uint64(64 - BITS)
+    held = np.array([_GAP], np.uint64)
+    for at in range(0, len(text) + 1, PIECE):
+        codes = np.frombuffer(text[at:at + PIECE].encode("utf-32-le", "replace"), np.uint32)
+        codes = np.where(_letters()[codes], codes, _GAP).astype(np.uint64)
+        last = [_GAP] if at + PIECE > len(text) else []
+        codes = np.concatenate((held, codes, np.array(last, np.uint64)))
         codes = codes[np.concatenate(([True], (codes[1:] != _GAP) | (codes[:-1] != _GAP)))]
-        if len(codes) < 3:
-            continue
-        shift = np.uint64(64 - BITS)
         one = codes * _MIX[0]
         two = one[:-1] + codes[1:] * _MIX[1]
         three = two[:-1] + codes[2:] * _MIX[2]
-        for grams in (one[codes != _GAP], two, three):
+        new = len(held)
+        for grams in (one[new:][codes[new:] != _GAP], two[new - 1:], three):
             mixed = (grams ^ (grams >> np.uint64(29))) * _MIX[0]
             counts += np.bincount((mixed >> shift).astype(np.int64), minlength=1 << BITS)
+        held = codes[-2:]
     return counts
 
 
