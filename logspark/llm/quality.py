@@ -38,7 +38,7 @@ def features(text: Column) -> dict[str, Column]:
         "bars": capped((F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))) / words),
         "exclaimed": capped(F.regexp_count(text, F.lit("!!+")) / words),
         "symbols": capped(F.regexp_count(text, F.lit(r"[%&$#*^~=<>{}\\|@_]{2,}+")) / words),
-        "repeated": capped(F.regexp_count(text, F.lit(r"(?<!\S)(\S{1,64}+)(?=\s++\1(?!\S))")) / words),
+        "repeated": capped(F.regexp_count(text, F.lit(r"(?<!\S)(\S++)(?=\s++\1(?!\S))")) / words),
         "letters": F.regexp_count(text, F.lit(r"\p{L}++")) / words / 2,
         "no_text": F.when(F.trim(text) == "", 1.0).otherwise(0.0),
     }
@@ -114,30 +114,31 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   source_col: str = "source", section_col: str = "lang", label_col: str = "quality",
-                  threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` with evidence_p, host_mean, path_mean, quality_p and keep, under names of their own.
-
-    The added names are those of :func:`added`. Null and empty texts are scored as
-    texts without words, null sources and sections as empty ones. Repeated rows are
-    scored alike; ids are only used to find labels. Without labels of both classes
-    nothing is rejected.
+                  threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all) with evidence_p, host_mean, path_mean, quality_p and keep, under names of their own.
+
+    The added names are those of :func:`added`. The features of a text are computed
+    once: its evidence is landed beside ``columns``, and both the sites' sums and the
+    scores are made from that. Null and empty texts are scored as texts without words,
+    null sources and sections as empty ones. Repeated rows are scored alike; ids are
+    only used to find labels. Without labels of both classes nothing is rejected.
     """
     model = fit_evidence(docs, labels, id_col, text_col, label_col, max_labelled)
-    e, host, path, h, p = fresh(docs, "quality_e", "quality_host", "quality_path", "quality_h", "quality_s")
-    at_host, at_path = site_columns(F.col(source_col), F.col(section_col))
-    own = evidence(F.col(text_col), model)
-    sites = land(site_posteriors(docs.select(at_host.alias("host"), at_path.alias("path"), _chance(own).alias("p"))),
-                 "quality-sites")
-    sites = sites.select(F.col("host").alias(h), F.col("path").alias(p), "host_mean", "path_mean", "global_mean")
+    columns = list(docs.columns) if columns is None else columns
     names = added(docs)
-    sites = sites.toDF(h, p, names[1], names[2], g := fresh(docs, "quality_global")[0])
-    scored = docs.withColumns({e: own, host: at_host, path: at_path}).join(
-        sites, (F.col(host) == F.col(h)) & (F.col(path) == F.col(p)), "left")
+    e, host, path, h, p, g = fresh(
+        docs, "quality_e", "quality_host", "quality_path", "quality_h", "quality_s", "quality_global")
+    at_host, at_path = site_columns(F.col(source_col), F.col(section_col))
+    own = land(docs.select(*[F.col(f"`{c}`") for c in columns], evidence(F.col(text_col), model).alias(e),
+                           at_host.alias(host), at_path.alias(path)), "quality-evidence")
+    sites = land(site_posteriors(own.select(F.col(host).alias("host"), F.col(path).alias("path"), _chance(F.col(e)).alias("p"))),
+                 "quality-sites").toDF(h, p, names[1], names[2], g)
+    scored = own.join(sites, (F.col(host) == F.col(h)) & (F.col(path) == F.col(p)), "left")
     odds = F.col(e) + _log_odds(F.col(names[2])) - _log_odds(F.col(g))
     fitted = any(model[1].values())
     scored = scored.withColumns({names[0]: _chance(F.col(e)), names[3]: _chance(odds)})
     keep = F.col(names[3]) >= threshold if fitted else F.lit(True)
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], *names[:4], keep.alias(names[4]))
+    return scored.select(*[F.col(f"`{c}`") for c in columns], *names[:4], keep.alias(names[4]))
 
 
 def added(docs: DataFrame) -> list[str]:

@@ -27,8 +27,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document: its own evidence, its site's posteriors, and the decision."""
     docs = _table(spark, sf_dir, "documents")
-    names = quality.added(docs)
-    return quality.score_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", *names)
+    return quality.score_quality(docs, _table(spark, sf_dir, "labels"), columns=["doc_id"])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
