@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.sources.versions import delete
+
 _OWN: dict[str, str] = {}
+#: Folders below which new ones are made, the innermost last.
+_SCRATCH: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,8 +34,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has used before."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder, or the scratch folder in use, that nothing has used before."""
+    base = _SCRATCH[-1] if _SCRATCH else shared_folder(spark)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders made inside the block are deleted at its end; what is read later has to be landed outside."""
+    folder = new_folder(spark, "scratch")
+    _SCRATCH.append(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(folder)
+        delete(spark, folder)
+
+
+def landed_apart(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, landed; the tables that it landed on the way are deleted."""
+    path = new_folder(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def land(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logspark.llm import chat, html_text, pivots, queries, warc
+from logspark.llm import chat, html_text, pivots, queries, shared, warc
 from tests.check_oracles import compare, connect
 
 PAGES = "page_id long, url string, html string"
@@ -130,6 +130,34 @@ def test_search_is_exact(spark):
     assert pivots.top_k(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_clusters_are_searched_without_the_other_clusters(spark, caplog):
+    """Of 40 narrow clusters each query visits few blocks; of vectors in all directions, nearly all."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True) * 3
+    centres = unit(rng.normal(size=(40, 16)))
+    tables = {"clustered": unit((centres[:, None] + rng.normal(size=(40, 150, 16)) * 0.05).reshape(-1, 16)),
+              "scattered": unit(rng.normal(size=(6000, 16)))}
+    shares = {}
+    for name, x in tables.items():
+        rows = [(i, v) for i, v in enumerate(rng.permutation(x).tolist())]
+        caplog.clear()
+        with caplog.at_level("INFO", "logspark.llm.pivots"):
+            found = pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        assert got == slow_top(rows, 5)
+        visited, pairs = caplog.records[-1].args
+        shares[name] = visited / pairs
+    assert shares["clustered"] < 0.2 and shares["scattered"] > 0.9
+
+
+def test_scores_that_would_not_be_exact_are_refused(spark):
+    table = spark.createDataFrame([(0, [1e6, 1.0]), (1, [1e6, 1.0]), (2, [])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="2\\*\\*53"):
+        pivots.top_k(table, F.col("vec_id") == 0)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li><a href="/a">One</a></li></ul></nav><!-- <p>no</p> -->
 <div class="cookie-notice">We use cookies, please agree.</div><div class="ad">Buy this, now.</div>
@@ -164,6 +192,21 @@ def test_queries_agree_with_their_sql(spark, name):
     assert compare(spark, connect("/root/testdata/sf0.01"), name, "/root/testdata/sf0.01") is None
 
 
+def test_scratch_tables_go_and_results_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: str(tmp_path))
+
+    def make():
+        inner = shared.landed_apart(spark, lambda: shared.land(spark.range(3), "a").union(shared.land(spark.range(4), "b")), "inner")
+        return shared.land(inner, "c")
+
+    out = shared.landed_apart(spark, make, "outer")
+    assert out.count() == 7 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["outer"]
+    with pytest.raises(ValueError), shared.scratch(spark):
+        shared.land(spark.range(2), "d")
+        raise ValueError
+    assert len(list(tmp_path.iterdir())) == 1 and not shared._SCRATCH
+
+
 def test_the_pipeline_keeps_clean_documents_and_drops_what_it_should(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -3,9 +3,11 @@
 import hashlib
 import math
 import re
+import time
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -92,8 +94,8 @@ def test_contained_items_are_found_and_nothing_else(spark):
     docs = docs_of(spark, [*EMPTY, (10, f"{filler} {item.upper()}\n{filler}", "", "", 0), (11, f"x {changed} y", "", "", 0),
                            (12, " ".join(item.split()[:20]), "", "", 0), (13, "two  words", "", "", 0), (14, filler, "", "", 0)])
     docs = docs.withColumn("item_id", F.lit("clash"))
-    for block in (1, 1000):
-        found = decontaminate.contaminated(docs, items, block_items=block)
+    for block, chars in ((1, 1 << 20), (1000, 1 << 20), (1000, 30)):
+        found = decontaminate.contaminated(docs, items, block_items=block, block_chars=chars)
         assert sorted(map(tuple, found.collect())) == [(10, 1, 26, 26), (11, 1, 25, 26), (13, 4, 1, 1)]
     left = decontaminate.drop_contaminated(docs, items)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 12, 14]
@@ -103,8 +105,19 @@ def test_contained_items_are_found_and_nothing_else(spark):
 def test_the_sketch_of_an_item_is_longer_than_what_may_be_missing():
     for n in (1, 5, 9, 26, 60, 300):
         rows = [(0, " ".join(f"q{i}" for i in range(n + 4)))]
-        sketch = decontaminate.sketch_items(rows, 5, 0.8)
-        assert len(sketch.hashes) > 0.2 * n - 1e-9
+        partition, = decontaminate.sketch_items(rows, 5, 0.8).partitions
+        assert len(partition.hashes) > 0.2 * n - 1e-9
+
+
+def test_a_text_is_sketched_for_each_size_partition_apart():
+    long = [(i, " ".join(f"q{i}x{j}" for j in range(1004))) for i in range(3)]
+    sketches = decontaminate.sketch_items([*long, (9, "one two three four five")], 5, 0.8)
+    small, large = sketches.partitions
+    # Items of many shingles have sketches of their smallest hashes; the short item does not widen their bound.
+    assert len(small.hashes) == 1 and large.hashes[-1] < 0.3 * 2**64
+    text = " ".join(f"w{i}" for i in range(5000))
+    for items, want in (([*long], 0), ([*long, (4, " ".join(text.split()[100:160]))], 1)):
+        assert len(decontaminate.matches_in(text, decontaminate.sketch_items(items, 5, 0.8), 5, 0.8)) == want
 
 
 def test_copies_follow_the_poisson_distribution(spark):
@@ -133,6 +146,69 @@ def test_the_mix_handles_odd_rows(spark):
     assert mixing.mix(docs, weights={}).count() == 0
 
 
+def test_added_columns_do_not_clash(spark):
+    docs = docs_of(spark, [(i, "t", "en", "s", 1) for i in range(30)]).withColumn("copy", F.lit("a")).withColumn("SHUFFLE_KEY", F.lit("b"))
+    out = mixing.mix(docs, size=90.0)
+    assert out.columns == [*docs.columns, "_copy", "_shuffle_key"]
+    rows = out.collect()
+    assert {(r.copy, r.SHUFFLE_KEY) for r in rows} == {("a", "b")} and {r["_copy"] for r in rows} >= {1, 2, 3}
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.3, 1.0, 7.5, 300.0, 20_000.0])
+def test_the_poisson_table_agrees_with_its_definition(mean):
+    table = mixing.poisson_table(mean)
+    want = np.cumsum([math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(len(table))]) if mean else [1.0]
+    assert np.allclose(table, want, rtol=1e-9, atol=1e-12) and table[-1] > 1 - 1e-9
+
+
+def test_quality_of_documents_whose_labels_were_not_seen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scored = quality.score_quality(docs, labels.where(~held), columns=["doc_id"]).select("doc_id", "keep")
+    seen = scored.join(labels.where(held), "doc_id").groupBy("quality", "keep").count().collect()
+    counts = {(r.quality, r.keep): r["count"] for r in seen}
+    good, bad = ([counts.get((q, k), 0) for k in (True, False)] for q in (1, 0))
+    assert sum(good) > 500 and sum(bad) > 80
+    assert good[1] <= 0.005 * sum(good) and bad[0] <= 0.02 * sum(bad)
+
+
+def test_a_repeated_word_counts_whatever_its_length(spark):
+    df = spark.createDataFrame([("x" * n + " ") * 4 for n in (1, 64, 65, 5000)], "string").toDF("text")
+    assert [round(r[0], 2) for r in df.select(quality.features(F.col("text"))["repeated"]).collect()] == [0.75] * 4
+
+
+def slow_quality(rows, model, strength_bounds):
+    """Scores of (evidence log odds, host, path), by the formulas."""
+    chance = lambda x: 1 / (1 + math.exp(-x))
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    p = [chance(e) for e, _, _ in rows]
+    mean = sum(p) / len(p)
+    by_host, by_path = {}, {}
+    for x, (_, host, path) in zip(p, rows, strict=True):
+        by_host.setdefault(host, []).append(x)
+        by_path.setdefault((host, path), []).append(x)
+    seen = np.mean([(np.mean(v) - mean) ** 2 for v in by_host.values()])
+    noise = np.mean([sum(x * (1 - x) for x in v) / len(v) ** 2 for v in by_host.values()])
+    low, high = strength_bounds
+    strength = max(low, min(high, mean * (1 - mean) / (seen - noise) - 1)) if seen > noise else high
+    host_mean = {h: (sum(v) + strength * mean) / (len(v) + strength) for h, v in by_host.items()}
+    path_mean = {k: (sum(v) + strength * host_mean[k[0]]) / (len(v) + strength) for k, v in by_path.items()}
+    return [chance(e + odds(path_mean[h, q]) - odds(mean)) for e, h, q in rows]
+
+
+def test_scores_follow_the_formulas(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit_evidence(docs, labels)
+    host, path = quality.site_columns(F.col("source"), F.col("lang"))
+    rows = docs.select("doc_id", quality.evidence(F.col("text"), model).alias("e"), host.alias("h"), path.alias("p")).collect()
+    want = slow_quality([(r.e, r.h, r.p) for r in rows], model, quality.STRENGTH)
+    got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    for r, score in zip(rows, want, strict=True):
+        assert got[r.doc_id].quality_p == pytest.approx(score, abs=1e-9) and got[r.doc_id].keep == (score >= quality.THRESHOLD)
+
+
 def test_quality_shrinks_sparse_sites_and_keeps_clean_documents(spark):
     good = "Some plain words in a sentence that reads well, and then another one."
     bad = "a | b | c | d | e | f | g | h | i | j"
@@ -169,12 +245,39 @@ def test_languages_are_told_apart_on_held_out_documents(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
-def test_ngrams_of_a_long_text_are_those_of_its_pieces():
-    text = "abc déf " * 10
-    assert langid.gram_counts(text).sum() > 0 and not langid.gram_counts("1 2 3").any()
+def slow_grams(text):
+    """Counts by hash of all one to three character runs of a text whose other characters are one gap each."""
+    mix, mask = [int(m) for m in langid._MIX], (1 << 64) - 1
+    codes = re.sub(f"[^{''.join(sorted({c for c in text.lower() if c.isalpha()}))}]+" if any(map(str.isalpha, text)) else "(?s).+",
+                   " ", f" {text.lower()} ")
+    counts = np.zeros(1 << langid.BITS, np.int64)
+    for size in (1, 2, 3):
+        for i in range(len(codes) - size + 1):
+            if codes[i:i + size] != " ":
+                h = sum(ord(c) * m for c, m in zip(codes[i:i + size], mix)) & mask
+                h = (h ^ (h >> 29)) * mix[0] & mask
+                counts[h >> (64 - langid.BITS)] += 1
+    return counts
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 4, 7, 1 << 20])
+def test_ngrams_of_a_text_are_those_of_its_pieces(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    for text in ("abc déf " * 10, "1 2 3", "", " a", "A  b,, c1d", "x" * 20, "ÀÉ über", "a"):
+        assert (langid.gram_counts(text) == slow_grams(text)).all()
     assert (langid.gram_counts("ABC") == langid.gram_counts("abc")).all()
 
 
+def test_ngrams_of_very_long_texts_are_not_cut(monkeypatch):
+    word = "abcdé "
+    for size in range(langid.PIECE - 3, langid.PIECE + 4):
+        text = (word * (size // 6 + 1))[:size]
+        cut = langid.gram_counts(text)
+        monkeypatch.setattr(langid, "PIECE", 1 << 22)
+        assert (cut == langid.gram_counts(text)).all()
+        monkeypatch.undo()
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -237,6 +340,76 @@ def test_trees_are_learnt_and_add_what_the_base_rules_miss(spark):
     assert not first.sure_phone and [(s["at"], s["end"]) for s in first.all_phone] == [(0, 17)]
 
 
+def slow_features(g, match, before, after):
+    digits = re.sub("[^0-9]", "", match)
+    near = before[-pii.CONTEXT:]
+    valid = {"email": True, "ip": g.kind == "ip" and max(map(int, match.split("."))) <= 255,
+             "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[g.kind]
+    has = lambda pattern, t: bool(regex.search(pattern, t, regex.ASCII))
+    return [pii.GENERATORS.index(g), min(len(digits), 24), min(len(re.sub(r"[^ .-]", "", match)), 8), has(r"[()\[\]{}]", match),
+            valid, has(pii.CUES[g.kind], near), has(r"[\p{L}0-9_/=#]$", near) or has(r"^[\p{L}0-9_/=]", after[:1]),
+            has(r"[$€£] ?$", near), math.floor(4 * len(re.sub("[^A-Z]", "", match)) / len(match) + 0.5)]
+
+
+def slow_chance(trees, f):
+    def at(node):
+        while isinstance(node, tuple):
+            node = node[2] if f[node[0]] <= node[1] else node[3]
+        return node
+    return 1 / (1 + math.exp(-2 * sum(w * at(t) for w, t in trees.trees)))
+
+
+def slow_spans(text, trees):
+    """All spans of a text: base ones, and further ones that the trees accept and no base span of their kind holds."""
+    text, out = text or "", []
+    base = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in slow_base(text))]
+    for kind in pii.KINDS:
+        sure = [(a, b) for k, a, b in base if k == kind]
+        more = set()
+        for g in pii.GENERATORS:
+            if g.kind == kind and trees.adds(g):
+                end = 0
+                matches = list(regex.finditer(g.pattern, text, regex.ASCII))
+                for i, m in enumerate(matches):
+                    after = text[m.end():matches[i + 1].start() if i + 1 < len(matches) else None]
+                    if slow_chance(trees, slow_features(g, m.group(), text[end:m.start()], after)) >= trees.threshold(kind):
+                        more.add(m.span())
+                    end = m.end()
+        out += [(kind, *s) for s in sorted([*sure, *(s for s in more if not any(a <= s[0] and s[1] <= b for a, b in sure))])]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [2, pii.CHUNK])
+def test_all_spans_are_those_of_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(pii, "CHUNK", chunk)
+    made = [f"tel 555-12{i:02d}-34{i:02d}, call: 555-321-{1000 + i}; card 4111 1111 1111 1111{i} bob{i} (at) ex{i} (dot) org $1.2.3.{i}"
+            for i in range(20)]
+    made += [f"+1 (0{i:02d}) 555-77{i:02d} 97.51.17.{i} phone (555) 123-{4000 + i} mail: a.b{i} [at] c.de a@b.cd 1.2.3.4.5" for i in range(60)]
+    texts = [*TEXTS, *made, " ; ".join(made)]
+    docs = docs_of(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])
+    grown = pii.fit_trees(docs)
+    assert grown.trees
+    for trees in (grown, pii.Trees(grown.trees, (0.3,) * 4), pii.Trees(grown.trees, (0.0,) * 4)):
+        for r in pii.find_spans(docs, trees).collect():
+            got = [(k, s["at"], s["end"]) for k in pii.KINDS for s in r[f"all_{k}"]]
+            assert got == slow_spans(texts[r.doc_id], trees)
+
+
+def test_the_time_for_a_text_grows_with_its_findings(spark):
+    def seconds(n):
+        text = " ".join(f"user{i}@example.com 1.2.3.{i % 256} 555-123-{i % 9000 + 1000}" for i in range(n))
+        docs = docs_of(spark, [(1, text, "", "", 0)])
+        start = time.time()
+        row = pii.find_spans(docs, trees).select(*[F.size(f"all_{k}") for k in pii.KINDS]).first()
+        assert tuple(row) == (n, n, 0, n)
+        return time.time() - start
+
+    trees = pii.Trees(((1.0, 1.0),), (0.5,) * 4)
+    seconds(100)
+    few, many = seconds(2000), seconds(32_000)
+    assert many < 16 * max(few, 0.5) and many < 20
+
+
 def test_the_base_digests_are_those_of_the_rules_over_a_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
