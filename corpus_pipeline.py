@@ -12,7 +12,7 @@ from logspark.llm.decontaminate import drop_contaminated
 from logspark.llm.mixing import mix
 from logspark.llm.pii import redact
 from logspark.llm.quality import keep_good
-from logspark.llm.shared import land
+from logspark.llm.shared import landed_apart
 from logspark.llm.simhash import keep_one
 
 
@@ -49,8 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over ``documents``; what each returns is written and read again."""
+    """The result of all stages over ``documents``; what each returns is written and read again.
+
+    The tables that a stage writes on its way are deleted when its result is there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = land(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = landed_apart(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
