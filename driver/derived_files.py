@@ -12,7 +12,7 @@ from logspark.plans.once import work_directory
 from logspark.sources.versions import file_system
 
 #: Lines of a file; how a file is written goes by its number.
-FILE_LINES = 500
+FILE_LINES = 2000
 KINDS = ("plain", "packed", "hidden")
 
 
@@ -35,12 +35,14 @@ def log_files(spark: SparkSession, sf_dir: str) -> str:
     """A pattern of all the files."""
     at = work(spark)
     lines = D.mixed_lines(spark, sf_dir).withColumn("file", F.floor(F.col("pos") / FILE_LINES))
-    for i, kind in enumerate(KINDS):
-        write_files(lines.where(F.col("file") % len(KINDS) == i), f"{at}/{kind}", kind != "plain")
+    kind = F.col("file") % len(KINDS)
+    write_files(lines.where(kind == KINDS.index("plain")), f"{at}/plain")
+    write_files(lines.where(kind != KINDS.index("plain")), f"{at}/packed", True)
     fs, to_path = file_system(spark, at)
-    for status in fs.globStatus(to_path(f"{at}/hidden/*/*.gz")) or []:
+    for status in fs.globStatus(to_path(f"{at}/packed/*/*.gz")) or []:
         name = status.getPath().toString()
-        if not fs.rename(to_path(name), to_path(name.removesuffix(".gz"))):
+        number = int(name.rsplit("/file=", 1)[1].split("/")[0])
+        if number % len(KINDS) == KINDS.index("hidden") and not fs.rename(to_path(name), to_path(name.removesuffix(".gz"))):
             raise OSError(f"could not rename {name}")
     return f"{at}/*/*/part-*"
 

@@ -14,7 +14,6 @@ from logspark.fixed_values import CSV_HEADERS
 from logspark.operators import addresses, candidates, refinement, states
 from logspark.operators import scalars as S
 from logspark.operators import tallies as A
-from logspark.operators.extract import csv_projection
 from logspark.plans.once import landed_at
 from logspark.plans.two_pass import two_pass_report
 from logspark.schema import RECORD_COLUMNS
@@ -146,7 +145,8 @@ def own_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws("|", F.lit("v1"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "ip", F.concat("method", F.lit(" "), "url"),
                        "status", "took")
     line = F.when(D.event_id() % 10 == 0, D.fixed8_line()).otherwise(line)
-    mine = ls.RegexLayout("pipes", r"v1\|(?<ts>[^|]+)\|(?<ip>[^|]+)\|(?<request>[^|]+)\|(?<status>\d{3})\|(?<duration>[0-9.]+) ?(?<unit>ms|s)")
+    mine = ls.RegexLayout("pipes", r"v1\|(?<ts>[^|]+)\|(?<ip>[^|]+)\|(?<request>[^|]+)\|(?<status>\d{3})\|"
+                                   r"(?<duration>[0-9.]+) ?(?<unit>ms|s)")
     rows = ls.extract(ls.meaningful_lines(D.lines_of(spark, sf_dir, line)), layouts=(mine, *ls.DEFAULT_LAYOUTS))
     return rows.where(F.col("format") == "pipes").select(F.col("pos").alias("event_id"), *RECORD_COLUMNS)
 

@@ -92,6 +92,17 @@ def read_lines(
     return lines.repartition(partitions, "pos") if partitions else lines
 
 
+def undecoded_gzip(lines: DataFrame) -> DataFrame:
+    """Files that were read as text, with ``by_content=False``, though they are gzip inside.
+
+    Only the first line of each file decides, but the files are scanned for it.
+    """
+    is_gzip = F.col("line").startswith("\x1f\ufffd")
+    firsts = lines.where(F.col("block_start") == 0).groupBy("file").agg(
+        F.min("pos").alias("first"), F.min(F.when(is_gzip, F.col("pos"))).alias("first_gzip"))
+    return firsts.where(F.col("first") == F.col("first_gzip")).select("file")
+
+
 def with_line_numbers(df: DataFrame, lines: DataFrame | None = None, key_lines: int = KEY_LINES) -> DataFrame:
     """Add ``lineno``, counted from 1 in every file, blanks and comments included.
 

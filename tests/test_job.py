@@ -87,8 +87,9 @@ def test_gzip_without_its_suffix_is_reported(spark, samples, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "b.log").write_bytes(gzip.compress("\n".join(samples.values()).encode()))
     (tmp_path / "in" / "a.log").write_text("x\n")
-    files = [r.file for r in undecoded_gzip(ls.read_lines(spark, str(tmp_path / "in"))).collect()]
-    assert [os.path.basename(f) for f in files] == ["b.log"]
+    lines = ls.read_lines(spark, str(tmp_path / "in"), by_content=False)
+    assert [os.path.basename(r.file) for r in undecoded_gzip(lines).collect()] == ["b.log"]
+    assert undecoded_gzip(ls.read_lines(spark, str(tmp_path / "in"))).count() == 0
 
 
 def test_summary_only_writes_no_csv(spark, log, tmp_path):
