@@ -19,7 +19,8 @@ KINDS = ("plain", "packed", "hidden")
 def work(spark: SparkSession) -> str:
     """A new path in the shared folder; in a local session without one, in a folder deleted at its end."""
     fallback = None
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if spark.conf.get("spark.checkpoint.dir", None) is None and master.startswith("local") and "cluster" not in master:
         fallback = tempfile.mkdtemp(prefix="logspark-")
         atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     return work_directory(spark, fallback)
